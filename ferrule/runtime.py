@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that their Python finds it."""
+    if spark.conf.get("ferrule.shipped", None) == spark.sparkContext.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ferrule-")) / "ferrule_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*")):
+            if p.is_file() and p.suffix in (".py", ".npz"):
+                z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.conf.set("ferrule.shipped", spark.sparkContext.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table ``name`` of ``sf_dir``; naive timestamps come out as UTC timestamps."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
