@@ -13,6 +13,7 @@ import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ BITS = 17
 MAX_FIT = 3_000  # pairs the fit is made from, those with the smallest hash of their id
 FIT_PAIRS = 3_000  # sound pairs the made ones are drawn from, counted with repetition
 EPOCHS = 4
+FOLDS = 4
+COMMON = 0.015
 
 # Responses that decline, for the making of refusals. {} is a name.
 REFUSALS_ZH = """抱歉，我无法回答这个问题。|对不起，我不能提供这方面的信息。|很抱歉，我帮不了您。|不好意思，这个问题我回答不了。|该问题超出了我的能力范围。|我没有权限查看这些内容。|根据规定，恕不提供此类内容。|我无法协助处理这个请求。|无可奉告。|暂时不能为您解答，请谅解。|很遗憾，这件事我帮不上忙，请咨询相关部门。|请换一个问题。|这个问题不便回答。|作为助手，我不能谈论{}。|恕我不能透露。|我不被允许讨论这个话题。|抱歉，无法提供帮助。|此类请求我不能处理。|我拒绝回答这个问题。|关于{}，我不方便多说。|您的请求无法完成，请谅解。|这方面的内容我不予置评。|请咨询其他人员，我无从回答。|对不起，这不在我的服务范围内。""".split("|")
@@ -159,9 +162,11 @@ def _made(pairs: list[tuple], rng: random.Random) -> list[tuple[tuple, int]]:
                 more = rng.choice(zh if _HAN.search(q) and zh else en or good)[1]
                 text = text + ("" if _HAN.search(text) else " ") + more
             out.append(((q, text, True), 2))
-        if rng.random() < 0.5:
+        if rng.random() < 0.8:
             text = rng.choice(LEADS_COPY) + q
-            if rng.random() < 0.5:
+            if rng.random() < 0.15:
+                text = f"{q} {q}"
+            if rng.random() < 0.6:
                 text = re.sub(r"[？?]\s*$", rng.choice(["", "?", "？", "。", ".", "!"]), text)
             if rng.random() < 0.2:
                 text = text.replace(" ", "") if _HAN.search(q) else text.lower()
@@ -271,16 +276,24 @@ def _training(sound: list[tuple], rng: random.Random) -> tuple[list[tuple], np.n
 
 
 def fit_pairs(pairs: list[tuple], seed: int = 5) -> PairModel:
-    """Score each half of the pairs by a fit to the other, drop what looks defective, fit to the rest."""
+    """Score each fold of the pairs by a fit to the others, drop what looks defective, fit to the rest.
+
+    Responses of one shape are in one fold, so a defect that recurs isn't learned as sound; a shape
+    that makes up COMMON of all pairs stays.
+    """
     rng, nrng = random.Random(seed), np.random.default_rng(seed)
     pairs = [p for p in pairs if p[0]]
     rng.shuffle(pairs)
-    sound = []
-    for half in (0, 1):
-        x, y = _training(pairs[half::2], rng)
-        model = PairModel().fit(x, y, nrng)
-        other = pairs[1 - half :: 2]
-        sound += [p for p, bad in zip(other, (model.score(other) >= 0.4).any(1) if other else []) if not bad]
+    shapes = [_shape(p[1] or "") for p in pairs]
+    often = {s for s, n in Counter(shapes).items() if n >= max(COMMON * len(pairs), 4)}
+    fold = [zlib.crc32(s.encode()) % FOLDS for s in shapes]
+    sound = [p for p, s in zip(pairs, shapes) if s in often]
+    for k in range(FOLDS):
+        test = [p for p, f, s in zip(pairs, fold, shapes) if f == k and s not in often]
+        train = [p for p, f, s in zip(pairs, fold, shapes) if f != k or s in often]
+        if test and train:
+            bad = (PairModel().fit(*_training(train, rng), nrng).score(test) >= 0.5).any(1)
+            sound += [p for p, b in zip(test, bad) if not b]
     x, y = _training(sound or pairs, rng)
     held = nrng.random(len(x)) < 0.15
     model = PairModel().fit([p for p, h in zip(x, held) if not h], y[~held], nrng)
