@@ -6,8 +6,8 @@ in at most H trigrams, so few segments can differ: if there are H + 1 segments o
 are (H + 1) / 2 one differs in at most one trigram. Signatures are therefore the segments' subsets and,
 where the plan of the band says so, their one-deletion neighbourhoods. The plan is the cheapest of
 those that either satisfy the pigeonhole in full or leave out the small (common, hence costly) segments
-with a chance of at most MISS that hashing puts the differences of a pair so that no signature is
-shared. Pairs with a common signature are verified exactly.
+and take as many further segments as keep the chance, over the hashes, that a pair at the threshold
+shares no signature at MISS (more similar pairs: far less). Pairs with a common signature are verified exactly.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from ferrule.runtime import arrow_map, spread, table, written
 
 SIMILARITY = 0.8
 RATIO = 1.25  # a band's sizes; a partner of at least 0.8 of the size is in the same or the next band
-MISS = 1e-6
+MISS = 1e-5
+BACKGROUND = 0.2  # similarity of unrelated texts the plans reckon with
+CHANCE_COST = 1e5  # what a signature shared by two unrelated texts for certain would cost, in entries
 EXPAND = 2_500  # pairs of two groups of copies that are all written out; beyond it, pairs with the groups' first rows
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -51,27 +53,38 @@ def _tail(mean: float, least: int) -> float:
 
 
 @functools.cache
-def plan(band: int) -> tuple[int, int, int]:
-    """(segments, smallest segment used, smallest segment whose deletions are used) of a band."""
+def plan(band: int) -> tuple[int, int, int, int]:
+    """(segments of a partition, segments used in all, smallest segment used, smallest segment whose
+    deletions are used) of a band. Segments beyond one partition's come from further partitions of the
+    universe by other hashes."""
     lo, hi = RATIO**band, math.ceil(RATIO ** (band + 1))
     h = most_different(hi, hi)
-    full = ((h + 2) // 2, 0, 1)
-    cases = [(hi, hi, h), (lo, lo, most_different(lo, lo)), (lo / RATIO, lo, most_different(lo / RATIO, lo))]
     n = (lo + hi) / 2
-    best, least = full, full[0] + n
-    for m in {h + 1, (h + 2) // 2, (2 * h + 5) // 3}:
-        for small in (3, 4, 5, 6):
-            for cut in (*range(small + 1, 16), 99):
-                miss = 0.0
+    common, other = 2 * n * BACKGROUND / (1 + BACKGROUND), 2 * n * (1 - BACKGROUND) / (1 + BACKGROUND)
+
+    def cost(m, used, small, cut):
+        entries = used * _tail(n / m, small) + (n * used / m * _tail(n / m, cut - 1) if cut < 99 else 0)
+        alone = math.exp(-other / m)
+        chance = used * alone * (_tail(common / m, small) + other / m * _tail(common / m, cut - 1) * (cut < 99))
+        return entries + CHANCE_COST * chance
+
+    half = (h + 2) // 2
+    best = (half, half, 0, 1)  # one of so many segments differs in one trigram at most: nothing is missed
+    least = cost(*best)
+    if n < 60:
+        return best
+    cases = [(hi, hi, h), (lo, lo, most_different(lo, lo)), (lo / RATIO, lo, most_different(lo / RATIO, lo))]
+    for m in sorted({max(2, round(hi / x)) for x in (4.5, 5, 6, 7, 8, 9, 10, 11, 12)}):
+        for small in range(3, 10):
+            for cut in (*range(small + 2, 15, 2), 99):
+                gain = 1.0
                 for a, b, d in cases:
                     shared = (a + b - d) / 2 / m
-                    gain = math.exp(-d / m) * (_tail(shared, small) + d / m * _tail(shared, max(small, cut - 1)) * (cut < 99))
-                    miss = max(miss, (1 - gain) ** m)
-                if miss <= MISS:
-                    # Small segments agree by chance far more often.
-                    cost = (m * _tail(n / m, small) + (n * _tail(n / m, cut - 1) if cut < 99 else 0)) * (1 + 4 * math.exp(2 - small))
-                    if cost < least:
-                        best, least = (m, small, cut), cost
+                    equal = (1 - 1 / m) ** d
+                    gain = min(gain, equal * (_tail(shared, small) + d / (m - 1) * _tail(shared, max(small, cut - 1)) * (cut < 99)))
+                used = math.ceil(math.log(MISS) / math.log(1 - gain)) if gain > 1e-3 else 10_000
+                if used <= 400 and (c := cost(m, used, small, cut)) < least:
+                    best, least = (m, used, small, cut), c
     return best
 
 
@@ -89,53 +102,54 @@ def trigram_sets(norms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own, _mix(keys & np.uint64((1 << 44) - 1)), np.bincount(own, minlength=len(norms))
 
 
-def signatures(own: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set, kind) of all sets; kind bit 0: a deletion, bit 1: the set is of the band below."""
-    sig, who, kind = [], [], []
+def signatures(own: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set) of all sets. The signature's two lowest bits are its kind, bit 0: a deletion,
+    bit 1: the set is of the band below."""
+    sig, who = [], []
     bands = band_of(sizes)
+    band_own = bands[own]
     for band in np.unique(bands[sizes > 0]).tolist():
+        take = np.flatnonzero(band_own == band)
+        sets, local = np.unique(own[take], return_inverse=True)
+        t = tokens[take]
         for lower in (0, 1):
             k = band + lower
-            m, small, cut = plan(k)
-            take = np.flatnonzero(bands[own] == band)
-            sets, local = np.unique(own[take], return_inverse=True)
-            t = tokens[take]
-            seg = local * m + ((t >> np.uint64(16)) % np.uint64(m)).astype(np.int64)
+            m, used, small, cut = plan(k)
             value = _mix(t + np.uint64(k))
-            count = np.bincount(seg, minlength=len(sets) * m)
-            total = np.zeros(len(sets) * m, np.uint64)
-            np.add.at(total, seg, value)
-            salt = np.arange(len(sets) * m, dtype=np.uint64) % np.uint64(m) * _K[0] + np.uint64(k) * _K[1]
-            used = np.flatnonzero(count >= small)
-            sig.append(_mix(total[used] + salt[used] + count[used].astype(np.uint64) * _K[2]))
-            who.append(sets[used // m])
-            kind.append(np.full(len(used), 2 * lower, np.uint8))
-            if cut < 99:
-                at = np.flatnonzero((count[seg] >= cut) & (count[seg] > small))
-                s = seg[at]
-                sig.append(_mix(total[s] - value[at] + salt[s] + (count[s] - 1).astype(np.uint64) * _K[2]))
-                who.append(sets[s // m])
-                kind.append(np.full(len(at), 2 * lower + 1, np.uint8))
+            for part in range(-(-used // m)):
+                some = min(m, used - part * m)  # the last partition gives only its first segments
+                place = ((t * (_K[part % 3] + np.uint64(2 * part)) >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
+                keep = np.flatnonzero(place < some)
+                seg, val = local[keep] * some + place[keep], value[keep]
+                cells = len(sets) * some
+                count = np.bincount(seg, minlength=cells)
+                total = np.zeros(cells, np.uint64)
+                np.add.at(total, seg, val)
+                number = np.arange(cells, dtype=np.uint64) % np.uint64(some) + np.uint64(part * m + (k << 16))
+                total += _mix(number) + count.astype(np.uint64) * _K[2]
+                hit = np.flatnonzero(count >= small)
+                for s, w, kind in ((total[hit], hit, 0), *(((total[seg[at]] - val[at] - _K[2], seg[at], 1) for at in [np.flatnonzero((count[seg] >= cut) & (count[seg] > small))]) if cut < 99 else ())):
+                    sig.append(_mix(s) & np.uint64(0xFFFFFFFFFFFC0000) | np.uint64((2 * lower + kind) << 16))
+                    who.append(sets[w // some])
     if not sig:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8)
-    return np.concatenate(sig), np.concatenate(who), np.concatenate(kind)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(sig) >> np.uint64(16), np.concatenate(who)
 
 
-def shared_signatures(sig: np.ndarray, ids: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shared_signatures(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of ids with a common signature, not both by deletion nor both of the band below."""
     order = np.argsort(sig, kind="stable")
-    sig, ids, kind = sig[order], ids[order], kind[order]
-    at = np.arange(len(sig))
+    key, ids, kind = sig[order] >> np.uint64(2), ids[order], sig[order] & np.uint64(3)
+    at = np.arange(len(key))
     left, right = [], []
     step = 0
     while True:
         step += 1
-        at = at[at + step < len(sig)]
-        at = at[sig[at] == sig[at + step]]
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
         if not len(at):
             break
-        both = kind[at] & kind[at + step]
-        ok = at[(both == 0) & (ids[at] != ids[at + step])]
+        ok = at[(kind[at] & kind[at + step] == 0) & (ids[at] != ids[at + step])]
         left.append(np.minimum(ids[ok], ids[ok + step]))
         right.append(np.maximum(ids[ok], ids[ok + step]))
     if not left:
@@ -144,6 +158,19 @@ def shared_signatures(sig: np.ndarray, ids: np.ndarray, kind: np.ndarray) -> tup
     return pairs[:, 0], pairs[:, 1]
 
 
+def _pack(sig: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Six bytes a signature; four an id where all fit."""
+    ids = ids.astype(np.uint32) if len(ids) and 0 <= ids.min() and ids.max() < 1 << 32 else ids.astype(np.int64)
+    return sig.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), ids.tobytes()
+
+
+def _unpack(sig: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(sig) // 6
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(sig, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel(), np.frombuffer(ids, np.uint32 if len(ids) == 4 * n else np.int64).astype(np.int64)
+
+
 def jaccard(a: str, b: str) -> float:
     x, y = ({s[i : i + 3] for i in range(len(s) - 2)} for s in (a, b))
     both = len(x & y)
@@ -157,24 +184,24 @@ def similar_pairs(texts: DataFrame) -> DataFrame:
     bits = int(math.log2(buckets))
 
     def sign(batches):
-        schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("who", pa.binary()), ("kind", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("who", pa.binary())])
         for b in batches:
             own, tokens, sizes = trigram_sets(b.column(1).to_pylist())
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            sig, who, kind = signatures(own, tokens, sizes)
+            sig, who = signatures(own, tokens, sizes)
             order = np.argsort(sig)
-            sig, who, kind = sig[order], ids[who[order]], kind[order]
-            edges = np.searchsorted((sig >> np.uint64(64 - bits)).astype(np.int64), np.arange(buckets + 1))
+            sig, who = sig[order], ids[who[order]]
+            edges = np.searchsorted((sig >> np.uint64(48 - bits)).astype(np.int64), np.arange(buckets + 1))
             some = [k for k in range(buckets) if edges[k] < edges[k + 1]]
-            cols = [[x[edges[k] : edges[k + 1]].tobytes() for k in some] for x in (sig, who.astype(np.int64), kind)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], schema=schema)
+            blobs = [_pack(sig[edges[k] : edges[k + 1]], who[edges[k] : edges[k + 1]]) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[i] for x in blobs], pa.binary()) for i in (0, 1))], schema=schema)
 
     def meet(group: pa.Table) -> pa.Table:
-        sig, who, kind = (np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()]) for name, kind in (("sig", np.uint64), ("who", np.int64), ("kind", np.uint8)))
-        a, b = shared_signatures(sig, who, kind)
+        parts = [_unpack(s, w) for s, w in zip(group.column("sig").to_pylist(), group.column("who").to_pylist())]
+        a, b = shared_signatures(np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts]))
         return pa.table({"id_a": a, "id_b": b})
 
-    packed = spread(texts).select("id", "norm").mapInArrow(sign, "bucket int, sig binary, who binary, kind binary")
+    packed = spread(texts).select("id", "norm").mapInArrow(sign, "bucket int, sig binary, who binary")
     met = written(packed.groupBy("bucket").applyInArrow(meet, "id_a long, id_b long"), "p6-met")
     candidates = met.distinct()
     ids = met.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
