@@ -25,8 +25,10 @@ from ferrule.runtime import arrow_map, spread, table, written
 SIMILARITY = 0.8
 RATIO = 1.25  # a band's sizes; a partner of at least 0.8 of the size is in the same or the next band
 MISS = 1e-5
-BACKGROUND = 0.2  # similarity of unrelated texts the plans reckon with
-CHANCE_COST = 1e5  # what a signature shared by two unrelated texts for certain would cost, in entries
+HITS = 2  # signatures a pair must share where the plan isn't exact
+SURE_BELOW = 75  # trigrams below which the pigeonhole is satisfied in full
+PAIR_COST, TEXT_COST = 5e3, 1e5  # cost in entries if all unrelated texts shared one signature, and two
+SMALL = 500_000  # ids (8 bytes each) that may be broadcast
 EXPAND = 2_500  # pairs of two groups of copies that are all written out; beyond it, pairs with the groups' first rows
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -52,6 +54,11 @@ def _tail(mean: float, least: int) -> float:
     return 1 - sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(max(0, least)))
 
 
+def background(n: float) -> float:
+    """The similarity of unrelated texts with about n trigrams that the plans reckon with."""
+    return min(0.45, 0.2 * math.sqrt(n / 250))
+
+
 @functools.cache
 def plan(band: int) -> tuple[int, int, int, int]:
     """(segments of a partition, segments used in all, smallest segment used, smallest segment whose
@@ -59,32 +66,31 @@ def plan(band: int) -> tuple[int, int, int, int]:
     universe by other hashes."""
     lo, hi = RATIO**band, math.ceil(RATIO ** (band + 1))
     h = most_different(hi, hi)
-    n = (lo + hi) / 2
-    common, other = 2 * n * BACKGROUND / (1 + BACKGROUND), 2 * n * (1 - BACKGROUND) / (1 + BACKGROUND)
-
-    def cost(m, used, small, cut):
-        entries = used * _tail(n / m, small) + (n * used / m * _tail(n / m, cut - 1) if cut < 99 else 0)
-        alone = math.exp(-other / m)
-        chance = used * alone * (_tail(common / m, small) + other / m * _tail(common / m, cut - 1) * (cut < 99))
-        return entries + CHANCE_COST * chance
-
     half = (h + 2) // 2
-    best = (half, half, 0, 1)  # one of so many segments differs in one trigram at most: nothing is missed
-    least = cost(*best)
-    if n < 60:
-        return best
+    full = (half, half, 0, 1)  # one of so many segments differs in one trigram at most: nothing is missed
+    if hi < SURE_BELOW:
+        return full
+    n = (lo + hi) / 2
+    j = background(n)
+    common, other = 2 * n * j / (1 + j), 2 * n * (1 - j) / (1 + j)
+    wanted = 1.0
+    while math.exp(-wanted) * (1 + wanted) > MISS:
+        wanted += 0.1
     cases = [(hi, hi, h), (lo, lo, most_different(lo, lo)), (lo / RATIO, lo, most_different(lo / RATIO, lo))]
-    for m in sorted({max(2, round(hi / x)) for x in (4.5, 5, 6, 7, 8, 9, 10, 11, 12)}):
-        for small in range(3, 10):
+    best, least = full, math.inf
+    for m in sorted({max(2, round(hi / x)) for x in (4, 5, 6, 7, 8, 9, 10, 12)}):
+        for small in range(2, 10):
             for cut in (*range(small + 2, 15, 2), 99):
                 gain = 1.0
                 for a, b, d in cases:
                     shared = (a + b - d) / 2 / m
-                    equal = (1 - 1 / m) ** d
-                    gain = min(gain, equal * (_tail(shared, small) + d / (m - 1) * _tail(shared, max(small, cut - 1)) * (cut < 99)))
-                used = math.ceil(math.log(MISS) / math.log(1 - gain)) if gain > 1e-3 else 10_000
-                if used <= 400 and (c := cost(m, used, small, cut)) < least:
-                    best, least = (m, used, small, cut), c
+                    gain = min(gain, (1 - 1 / m) ** d * (_tail(shared, small) + d / (m - 1) * _tail(shared, max(small, cut - 1)) * (cut < 99)))
+                used = math.ceil(wanted / gain) if gain > 1e-3 else 10_000
+                entries = used * _tail(n / m, small) + (n * used / m * _tail(n / m, cut - 1) if cut < 99 else 0)
+                chance = used * math.exp(-other / m) * (_tail(common / m, small) + other / m * _tail(common / m, cut - 1) * (cut < 99))
+                cost = entries + PAIR_COST * chance + TEXT_COST * chance * chance / 2
+                if used <= 600 and cost < least:
+                    best, least = (m, used, small, cut), cost
     return best
 
 
@@ -97,20 +103,24 @@ def trigram_sets(norms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(norms), np.int64)
     h = _mix(codes[:-2] * _K[0] + codes[1:-1] * _K[1] + codes[2:] * _K[2])
     inside = owner[:-2] == owner[2:]
-    keys = np.unique((owner[:-2][inside].astype(np.uint64) << np.uint64(44)) | (h[inside] >> np.uint64(20)))
+    keys = np.sort((owner[:-2][inside].astype(np.uint64) << np.uint64(44)) | (h[inside] >> np.uint64(20)))
+    if len(keys):
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
     own = (keys >> np.uint64(44)).astype(np.int64)
     return own, _mix(keys & np.uint64((1 << 44) - 1)), np.bincount(own, minlength=len(norms))
 
 
 def signatures(own: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) of all sets. The signature's two lowest bits are its kind, bit 0: a deletion,
-    bit 1: the set is of the band below."""
+    """(signature, set) of all sets. The signature's three lowest bits are its kind, bit 0: a deletion,
+    bit 1: the set is of the band below, bit 2: the plan is exact."""
     sig, who = [], []
     bands = band_of(sizes)
     band_own = bands[own]
     for band in np.unique(bands[sizes > 0]).tolist():
         take = np.flatnonzero(band_own == band)
-        sets, local = np.unique(own[take], return_inverse=True)
+        mine = own[take]  # in order
+        new = np.concatenate([[True], mine[1:] != mine[:-1]])
+        sets, local = mine[new], np.cumsum(new) - 1
         t = tokens[take]
         for lower in (0, 1):
             k = band + lower
@@ -118,9 +128,12 @@ def signatures(own: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[
             value = _mix(t + np.uint64(k))
             for part in range(-(-used // m)):
                 some = min(m, used - part * m)  # the last partition gives only its first segments
-                place = ((t * (_K[part % 3] + np.uint64(2 * part)) >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-                keep = np.flatnonzero(place < some)
-                seg, val = local[keep] * some + place[keep], value[keep]
+                place = ((t * (_K[part % 3] + np.uint64(2 * part)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+                if some < m:
+                    keep = np.flatnonzero(place < some)
+                    seg, val = local[keep] * some + place[keep], value[keep]
+                else:
+                    seg, val = local * m + place, value
                 cells = len(sets) * some
                 count = np.bincount(seg, minlength=cells)
                 total = np.zeros(cells, np.uint64)
@@ -129,19 +142,20 @@ def signatures(own: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[
                 total += _mix(number) + count.astype(np.uint64) * _K[2]
                 hit = np.flatnonzero(count >= small)
                 for s, w, kind in ((total[hit], hit, 0), *(((total[seg[at]] - val[at] - _K[2], seg[at], 1) for at in [np.flatnonzero((count[seg] >= cut) & (count[seg] > small))]) if cut < 99 else ())):
-                    sig.append(_mix(s) & np.uint64(0xFFFFFFFFFFFC0000) | np.uint64((2 * lower + kind) << 16))
+                    sig.append(_mix(s) & np.uint64(0xFFFFFFFFFFF80000) | np.uint64((4 * (small == 0) + 2 * lower + kind) << 16))
                     who.append(sets[w // some])
     if not sig:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(sig) >> np.uint64(16), np.concatenate(who)
 
 
-def shared_signatures(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of ids with a common signature, not both by deletion nor both of the band below."""
+def shared_signatures(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of ids with common signatures, not both by deletion nor both of the band below,
+    and how many they have; one of an exact plan counts as HITS."""
     order = np.argsort(sig, kind="stable")
-    key, ids, kind = sig[order] >> np.uint64(2), ids[order], sig[order] & np.uint64(3)
+    key, ids, kind = sig[order] >> np.uint64(3), ids[order], sig[order] & np.uint64(7)
     at = np.arange(len(key))
-    left, right = [], []
+    left, right, hits = [], [], []
     step = 0
     while True:
         step += 1
@@ -149,13 +163,17 @@ def shared_signatures(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.
         at = at[key[at] == key[at + step]]
         if not len(at):
             break
-        ok = at[(kind[at] & kind[at + step] == 0) & (ids[at] != ids[at + step])]
+        ok = at[(kind[at] & kind[at + step] & np.uint64(3) == 0) & (ids[at] != ids[at + step])]
         left.append(np.minimum(ids[ok], ids[ok + step]))
         right.append(np.maximum(ids[ok], ids[ok + step]))
+        hits.append(np.where(kind[ok] >= 4, HITS, 1))
     if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    a, b, n = np.concatenate(left), np.concatenate(right), np.concatenate(hits)
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+    return a[first], b[first], np.add.reduceat(n, first).astype(np.int64) if len(first) else np.empty(0, np.int64)
 
 
 def _pack(sig: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -177,6 +195,12 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both) if x or y else 0.0
 
 
+def few(ids: DataFrame, label: str) -> DataFrame:
+    """``ids``, written, and to be broadcast if there are at most SMALL; joined by a shuffle otherwise."""
+    ids = written(ids, label)
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
 def similar_pairs(texts: DataFrame) -> DataFrame:
     """``(id_a, id_b, similarity)`` of all distinct texts ``(id, norm)`` that are similar enough."""
     rows = texts.count()
@@ -198,14 +222,13 @@ def similar_pairs(texts: DataFrame) -> DataFrame:
 
     def meet(group: pa.Table) -> pa.Table:
         parts = [_unpack(s, w) for s, w in zip(group.column("sig").to_pylist(), group.column("who").to_pylist())]
-        a, b = shared_signatures(np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts]))
-        return pa.table({"id_a": a, "id_b": b})
+        a, b, n = shared_signatures(np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts]))
+        return pa.table({"id_a": a, "id_b": b, "n": n})
 
     packed = spread(texts).select("id", "norm").mapInArrow(sign, "bucket int, sig binary, who binary")
-    met = written(packed.groupBy("bucket").applyInArrow(meet, "id_a long, id_b long"), "p6-met")
-    candidates = met.distinct()
-    ids = met.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    held = texts.join(ids, "id", "left_semi")
+    met = packed.groupBy("bucket").applyInArrow(meet, "id_a long, id_b long, n long")
+    candidates = written(met.groupBy("id_a", "id_b").agg(F.sum("n").alias("n")).filter(F.col("n") >= HITS).select("id_a", "id_b"), "p6-candidates")
+    held = texts.join(few(candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "p6-ids"), "id", "left_semi")
     both = candidates.join(held.select(F.col("id").alias("id_a"), F.col("norm").alias("norm_a")), "id_a").join(held.select(F.col("id").alias("id_b"), F.col("norm").alias("norm_b")), "id_b")
 
     def verify(c):
@@ -226,9 +249,8 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, field: str) -> tuple[
     keys = written(base.select("id", F.md5("norm").alias("k")), f"p6-keys-{field}")
     reps = keys.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = written(keys.join(reps, "k").select("id", "rep", "copies"), f"p6-members-{field}")
-    # Few rows are copies as a rule; then this is a broadcast join by size and the texts stay where they are.
-    distinct = base.join(members.filter("id != rep").select("id"), "id", "left_anti")
-    return similar_pairs(distinct), members
+    copies = few(members.filter("id != rep").select("id"), f"p6-copies-{field}")
+    return similar_pairs(written(base.join(copies, "id", "left_anti"), f"p6-texts-{field}")), members
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -123,7 +123,9 @@ def features(texts: list[str | None], counts: np.ndarray) -> np.ndarray:
     words = t.doc[t.start]
     rare = -np.log2((counts[t.cell] + 1.0) / total)
     split = len(t.pair)
-    keys = np.unique((t.owner.astype(np.uint64) << np.uint64(40)) | (t.hash >> np.uint64(24)))
+    keys = np.sort((t.owner.astype(np.uint64) << np.uint64(40)) | (t.hash >> np.uint64(24)))
+    if len(keys):
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
     distinct = by((keys >> np.uint64(40)).astype(np.int64))
     tokens = by(t.owner)
     out = np.stack([
