@@ -124,28 +124,65 @@ class Tagger:
             result[k] = out[0][:n, col] + out[1][:n, col][::-1] + self.p["bias"]
         return result
 
-    def outside(self, e: np.ndarray) -> bool:
-        """True if it is certain that the best path stays outside: at no position does any other tag
-        win by more than the transitions could make up for."""
-        if not len(e):
-            return True
+    def doubtful(self, e: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of the scores ``e`` that may hold a span; it is certain that the best path is
+        outside everywhere else.
+
+        A run of other tags gains at most the sum, over its positions, of the best other score less the
+        outside one and of the best transition within a run, and once the best way in and out. The
+        largest such sum of a run that ends at a position comes from prefix sums and their minimum.
+        """
         trans = self.p["trans"]
-        gain = float(trans.max() - trans[0, 0])
-        return bool(((e[:, 1:].max(1) - e[:, 0] + gain) < 0).all())
+        rest = float(trans[0, 0])
+        stay = float(trans[1:, 1:].max()) - rest
+        turn = float(trans[0, 1:].max() + trans[1:, 0].max()) - 2 * rest - stay
+        best = e[:, 1:].max(1) - e[:, 0] + stay
+        total = np.concatenate([[0.0], np.cumsum(best, dtype=np.float64)])
+        low = np.minimum.accumulate(total[:-1])
+        ends = np.flatnonzero(total[1:] - low + turn > 0)
+        if not len(ends):
+            return []
+        place = np.maximum.accumulate(np.where(np.concatenate([[True], total[1:-1] <= low[:-1]]), np.arange(len(low)), 0))
+        starts = place[ends]
+        out: list[list[int]] = []
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            if out and a <= out[-1][1] + 3:
+                out[-1][1] = max(out[-1][1], b + 1)
+            else:
+                out.append([a, b + 1])
+        return [(a, b) for a, b in out]
 
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
+    def viterbi(self, parts: list[np.ndarray]) -> list[np.ndarray]:
+        """The best path through each of the score matrices; all advance together, longest first."""
         trans = self.p["trans"]
-        back = np.zeros((len(e), TAGS), np.int8)
-        s = e[0].copy()
-        for t in range(1, len(e)):
-            m = s[:, None] + trans
-            back[t] = m.argmax(0)
-            s = m.max(0) + e[t]
-        path = np.empty(len(e), np.int8)
-        path[-1] = s.argmax()
-        for t in range(len(e) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path
+        order = np.argsort([-len(x) for x in parts], kind="stable")
+        lengths = np.array([len(parts[k]) for k in order])
+        steps = int(lengths[0]) if len(lengths) else 0
+        e = np.zeros((steps, len(parts), TAGS), np.float32)
+        for col, k in enumerate(order):
+            e[: len(parts[k]), col] = parts[k]
+        active = np.searchsorted(-lengths, -np.arange(steps), side="left")
+        back = np.zeros((steps, len(parts), TAGS), np.int8)
+        final = np.zeros((len(parts), TAGS), np.float32)
+        s = e[0].copy() if steps else final
+        for t in range(1, steps):
+            n = active[t]
+            final[n : len(s)] = s[n:]
+            m = s[:n, :, None] + trans
+            back[t, :n] = m.argmax(1)
+            s = m.max(1) + e[t, :n]
+        final[: len(s)] = s
+        paths: list = [None] * len(parts)
+        tag = final.argmax(1)
+        whole = np.zeros((steps, len(parts)), np.int8)
+        for t in range(steps - 1, -1, -1):
+            n = active[t]
+            whole[t, :n] = tag[:n]
+            if t:
+                tag[:n] = back[t, np.arange(n), tag[:n]]
+        for col, k in enumerate(order):
+            paths[k] = whole[: lengths[col], col]
+        return paths
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Spans (start, end, kind) of each text. Windows overlap; each position's scores come from the
@@ -157,37 +194,33 @@ class Tagger:
             cuts.append((len(windows), starts, len(codes)))
             windows += [codes[s : s + WINDOW] for s in starts]
         scores = self.emissions(windows)
-        spans = []
+        wall = np.full((1, TAGS), -1e4, np.float32)  # between two texts
+        wall[0, 0] = 0
+        parts, at, place = [wall], [], 1
         for first, starts, n in cuts:
-            parts = []
-            for k, s in enumerate(starts):
+            at.append(place)
+            for k in range(len(starts)):
                 e = scores[first + k]
                 lo = MARGIN // 2 if k else 0
-                hi = len(e) - (MARGIN - MARGIN // 2) if k + 1 < len(starts) else len(e)
-                parts.append(e[lo:hi])
-            e = np.concatenate(parts) if parts else np.empty((0, TAGS), np.float32)
-            assert len(e) == n
-            spans.append([] if self.outside(e) else self._spans(e))
-        return spans
-
-    def _spans(self, e: np.ndarray) -> list[tuple[int, int, str]]:
-        """Decode around the positions that may be inside; a stretch of WINDOW certain ones parts the text."""
-        trans = self.p["trans"]
-        doubt = np.flatnonzero(e[:, 1:].max(1) - e[:, 0] + float(trans.max() - trans[0, 0]) >= 0)
-        groups = np.split(doubt, np.flatnonzero(np.diff(doubt) > 64) + 1)
-        out = []
-        for g in groups:
-            a, b = max(0, int(g[0]) - 16), min(len(e), int(g[-1]) + 17)
-            path = self.viterbi(e[a:b])
+                parts.append(e[lo : len(e) - (MARGIN - MARGIN // 2) if k + 1 < len(starts) else len(e)])
+            parts.append(wall)
+            place += n + 1
+        e = np.concatenate(parts)
+        pieces = [(max(0, a - 2), min(len(e), b + 2)) for a, b in self.doubtful(e)]
+        spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        for (a, _), path in zip(pieces, self.viterbi([e[a:b] for a, b in pieces])):
+            if not path.any():
+                continue
             start, kind = None, None
             for i, tag in enumerate([*path.tolist(), 0]):
                 k = (tag - 1) // 2 if tag else None
                 if start is not None and (k is None or tag % 2 == 1 or k != kind):
-                    out.append((a + start, a + i, KINDS[kind]))
+                    owner = int(np.searchsorted(at, a + start, side="right")) - 1
+                    spans[owner].append((a + start - at[owner], a + i - at[owner], KINDS[kind]))
                     start = None
                 if tag and start is None:
                     start, kind = i, k
-        return out
+        return spans
 
     # Training
 

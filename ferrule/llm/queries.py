@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import p1_scans, p2_split, p4_lookalikes, p5_pairs, p6_similar, p7_leaks, p8_mixture, p9_reading
+from . import p1_scans, p2_split, p3_private, p4_lookalikes, p5_pairs, p6_similar, p7_leaks, p8_mixture, p9_reading
 
 QUERIES = {}
-for _m in (p1_scans, p2_split, p4_lookalikes, p5_pairs, p6_similar, p7_leaks, p8_mixture, p9_reading):
+for _m in (p1_scans, p2_split, p3_private, p4_lookalikes, p5_pairs, p6_similar, p7_leaks, p8_mixture, p9_reading):
     QUERIES.update(_m.QUERIES)
 
 SQL: dict[str, str] = {}
