@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import io
 import unicodedata
+from importlib.resources import files
 from pathlib import Path
 
 import numpy as np
@@ -65,8 +67,10 @@ class Tagger:
         np.savez_compressed(path, alphabet=np.array([self.alphabet]), **{k: v.astype(np.float16) for k, v in self.p.items()})
 
     @classmethod
-    def load(cls, path: Path = MODEL) -> Tagger:
-        with path.open("rb") as f, np.load(f) as z:
+    def load(cls, path: Path | None = None) -> Tagger:
+        """The trained model beside this module, also where the package is read from an archive."""
+        held = path.read_bytes() if path else (files(__package__) / MODEL.name).read_bytes()
+        with np.load(io.BytesIO(held)) as z:
             t = cls(str(z["alphabet"][0]))
             t.p = {k: z[k].astype(np.float32) for k in t.p}
         return t
