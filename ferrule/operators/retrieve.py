@@ -30,7 +30,7 @@ def visible_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def with_metadata(chunks: DataFrame, content_types=None, sections=None, since=None, until=None) -> DataFrame:
     """Chunks that satisfy every filter given; a null value satisfies none."""
     tests = [F.col("content_type").isin(*content_types) if content_types else None, F.col("section").isin(*sections) if sections else None,
-             F.col("created_at") >= since if since else None, F.col("created_at") < until if until else None]
+             F.col("created_at") >= since if since is not None else None, F.col("created_at") < until if until is not None else None]
     return reduce(DataFrame.filter, [t for t in tests if t is not None], chunks)
 
 

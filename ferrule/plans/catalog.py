@@ -1,7 +1,627 @@
-"""Every query of the core, with its SQL for the comparison."""
+"""Every query of the core, each over its whole tables, with its SQL for the comparison.
+
+Searches take as queries every golden question (or vector) whose number is divisible by 20.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ferrule.functions import text as T
+from ferrule.operators import chunk, context, conversation, evaluate, evidence, graph, index, operations, retrieve, security
+from ferrule.runtime import table, written
+from ferrule.sources import parse
+from ferrule.streaming import events as streaming
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "hybrid_search"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Parts of the SQL. DuckDB's regular expressions have no lookaround, so borders are captured there.
+def _tok(x: str) -> str:
+    return (f"list_concat(regexp_extract_all(lower({x}), '[a-z0-9_-]{{2,}}'), flatten(list_transform(regexp_extract_all(lower({x}), '[一-龥]{{2,}}'), "
+            "lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2)))))")
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+def _kw(x: str, most: int = 8) -> str:
+    return f"list_slice(list_filter(list_filter({_tok(x)}, lambda t: t NOT IN ({_STOP})), lambda t, i: list_position(list_filter({_tok(x)}, lambda u: u NOT IN ({_STOP})), t) = i), 1, {most})"
+
+
+_ASKED = f"asked AS (SELECT CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) AS qid, question, {_kw('question')} AS terms, answerable, expected_keywords AS kws FROM golden_set WHERE CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) % 20 = 0)"
+_VISIBLE = """visible AS (SELECT * FROM (SELECT c.*, d.filename, d.tags, row_number() OVER (PARTITION BY c.document_id, c.seq, c.index_version ORDER BY c.created_at DESC NULLS LAST, c.chunk_id DESC) AS _n
+  FROM structured_chunks c JOIN kb_documents d ON c.document_id = d.document_id AND c.index_version = d.active_index_version WHERE d.status NOT IN ('deleting', 'deleted')) WHERE _n = 1)"""
+_KEYWORD = f"""post AS (SELECT chunk_id, unnest({_tok('content')}) AS term FROM visible),
+ terms AS (SELECT qid, unnest(terms) AS term FROM asked),
+ hits AS (SELECT qid, chunk_id, count(*) AS hits FROM post JOIN terms USING (term) GROUP BY qid, chunk_id),
+ best AS (SELECT * FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, chunk_id) AS first FROM hits) WHERE first <= 30),
+ body AS (SELECT b.qid, b.chunk_id, b.first, lower(v.content) AS body, a.terms FROM best b JOIN visible v USING (chunk_id) JOIN asked a USING (qid)),
+ stats AS (SELECT qid, avg(length(body)) AS mean, count(*) AS n FROM body GROUP BY qid),
+ each0 AS (SELECT qid, chunk_id, first, body, unnest(terms) AS term FROM body),
+ each1 AS (SELECT *, (length(body) - length(replace(body, term, ''))) / length(term) AS tf FROM each0),
+ dfs AS (SELECT qid, term, count(*) AS df FROM each1 WHERE tf > 0 GROUP BY qid, term),
+ bm AS (SELECT e.qid, e.chunk_id, e.first, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length(body) / mean))), 6) AS score
+   FROM each1 e JOIN dfs USING (qid, term) JOIN stats USING (qid) WHERE tf > 0 GROUP BY e.qid, e.chunk_id, e.first),
+ keyword AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS rank, score FROM bm)"""
+_TITLE = f"""held AS (SELECT DISTINCT chunk_id, document_id, seq, unnest({_tok("concat_ws(' ', section, regexp_replace(filename, '[._]', ' ', 'g'), array_to_string(tags, ' '))")}) AS term FROM visible),
+ terms4 AS (SELECT qid, unnest(list_slice(terms, 1, 4)) AS term FROM asked),
+ title AS (SELECT qid, chunk_id, rank FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY document_id, seq, chunk_id) AS rank FROM (SELECT DISTINCT qid, chunk_id, document_id, seq FROM held JOIN terms4 USING (term))) WHERE rank <= 30)"""
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+_VECTOR = f"""vec AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank
+  FROM (SELECT q.vec_id AS qid, e.vec_id AS chunk_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0))"""
+_FUSED = f"""{_ASKED}, {_VISIBLE}, {_KEYWORD}, {_TITLE}, {_VECTOR},
+ every AS (SELECT qid, chunk_id, rank FROM keyword UNION ALL SELECT qid, chunk_id, rank FROM title UNION ALL SELECT vec.qid, vec.chunk_id, vec.rank FROM vec JOIN asked USING (qid) JOIN visible USING (chunk_id) WHERE vec.rank <= 30),
+ fused AS (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score, count(*) AS routes FROM every GROUP BY qid, chunk_id)"""
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    number = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
+    rows = table(spark, d, "golden_set").withColumn("qid", number).filter("qid % 20 = 0")
+    return rows.select("qid", "question", T.keywords(F.col("question")).alias("terms"), "answerable", F.col("expected_keywords").alias("keywords"))
+
+
+def _visible(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.visible_chunks(table(spark, d, "structured_chunks"), table(spark, d, "kb_documents"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.vector_route(table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"),
+                                 table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"))
+
+
+def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    asked, chunks = _asked(spark, d), _visible(spark, d)
+    vectors = _vectors(spark, d).join(asked.select("qid"), "qid", "left_semi").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return retrieve.fuse({"keyword": retrieve.keyword_route(asked, chunks), "title": retrieve.title_route(asked, chunks), "vector": vectors}), asked, chunks
+
+
+# Retrieval
+
+
+@query(f"WITH {_ASKED} SELECT qid, array_to_string(terms, ',') AS terms, array_to_string(list_filter(terms, lambda t: regexp_matches(t, '^[A-Za-z0-9_一-龥]+$')), ' | ') AS query FROM asked")
+def query_terms(spark, d):
+    return _asked(spark, d).select("qid", F.array_join("terms", ",").alias("terms"), T.any_term_query(F.col("terms")).alias("query"))
+
+
+_EXACT = "(^|[^A-Za-z0-9_一-龥])([A-Z]{2,}[A-Z0-9_-]*|[A-Z]+-?[0-9]{2,}|[0-9]{3,})($|[^A-Za-z0-9_一-龥])"
+_RELATION, _CONCEPT = "关系|关联|依赖|影响|区别|relation|differ|between", "为什么|原理|含义|介绍|概念|如何|怎么|what|why|how"
+
+
+@query(f"""SELECT id, CASE WHEN regexp_matches(lower(trim(question)), '^(你好|您好|hello|hi|谢谢|thanks)[!！。,. ]*$') THEN 'none' WHEN regexp_matches(question, '{_EXACT}') THEN 'keyword'
+ WHEN regexp_matches(lower(question), '{_RELATION}') THEN 'graph' WHEN regexp_matches(lower(question), '{_CONCEPT}') THEN 'vector' ELSE 'hybrid' END AS mode FROM golden_set""")
+def query_route(spark, d):
+    q = F.col("question")
+    mode = (F.when(F.lower(F.trim(q)).rlike("^(你好|您好|hello|hi|谢谢|thanks)[!！。,. ]*$"), "none").when(q.rlike(_EXACT), "keyword")
+            .when(F.lower(q).rlike(_RELATION), "graph").when(F.lower(q).rlike(_CONCEPT), "vector").otherwise("hybrid"))
+    return table(spark, d, "golden_set").select("id", mode.alias("mode"))
+
+
+@query(f"WITH {_VISIBLE} SELECT chunk_id, document_id, seq, index_version, filename FROM visible")
+def visible_chunks(spark, d):
+    return _visible(spark, d).select("chunk_id", "document_id", "seq", "index_version", "filename")
+
+
+@query("SELECT chunk_id, content_type, section FROM structured_chunks WHERE content_type IN ('text', 'table') AND section IN ('费用', 'Access', '总则', 'Overview') AND created_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00'")
+def metadata_filter(spark, d):
+    rows = retrieve.with_metadata(table(spark, d, "structured_chunks"), ["text", "table"], ["费用", "Access", "总则", "Overview"], F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    return rows.select("chunk_id", "content_type", "section")
+
+
+@query("SELECT document_id FROM kb_documents WHERE list_contains(list_transform(tags, lambda t: lower(t)), 'draft') AND list_contains(list_transform(tags, lambda t: lower(t)), '内部')")
+def tag_filter(spark, d):
+    return retrieve.with_tags(table(spark, d, "kb_documents"), ["Draft", "内部"]).select("document_id")
+
+
+@query(f"WITH {_ASKED}, {_VISIBLE}, {_KEYWORD} SELECT qid, chunk_id, rank, score FROM keyword")
+def bm25_rank(spark, d):
+    return retrieve.keyword_route(_asked(spark, d), _visible(spark, d)).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"WITH {_ASKED}, {_VISIBLE}, {_TITLE} SELECT qid, chunk_id, rank FROM title")
+def title_route(spark, d):
+    return retrieve.title_route(_asked(spark, d), _visible(spark, d)).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_VECTOR} SELECT qid, chunk_id, rank, score FROM vec WHERE rank <= 30")
+def vector_topk(spark, d):
+    return _vectors(spark, d).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"""WITH pairs AS (SELECT q.vec_id - q.vec_id % 20 AS qid, e.vec_id AS chunk_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='q.embedding', b='e.embedding')}, 6) DESC, e.vec_id) AS r
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 < 3),
+ best AS (SELECT qid, chunk_id, greatest(max(score), 0.0) AS score FROM pairs WHERE r <= 30 GROUP BY qid, chunk_id)
+ SELECT qid, chunk_id, rank FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM best) WHERE rank <= 30""")
+def multi_query(spark, d):
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.filter("vec_id % 20 < 3").select(F.col("vec_id").alias("qid"), "embedding")
+    each = retrieve.vector_route(asked, vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    merged = retrieve.best_of_variants(each.withColumn("qid", F.col("qid") - F.col("qid") % 20))
+    return merged.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_FUSED} SELECT qid, chunk_id, score, routes FROM fused")
+def rrf_fusion(spark, d):
+    return _fused(spark, d)[0]
+
+
+@query(f"WITH {_FUSED} SELECT qid, chunk_id, rank, score FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 5")
+def hybrid_search(spark, d):
+    return retrieve.top(_fused(spark, d)[0]).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"""WITH {_FUSED}, re AS (SELECT f.qid, f.chunk_id, f.score, a.terms, lower(concat_ws(' ', v.filename, v.section)) AS title, lower(v.content) AS body,
+   row_number() OVER (PARTITION BY f.qid, lower(regexp_replace(v.content, '\\s', '', 'g')) ORDER BY f.score DESC, f.chunk_id) AS again FROM fused f JOIN visible v USING (chunk_id) JOIN asked a USING (qid)),
+ scored AS (SELECT qid, chunk_id, round(score + 0.03 * len(list_filter(terms, lambda t: contains(title, t))) + 0.01 * len(list_filter(terms, lambda t: contains(body, t))) - CASE WHEN again > 1 THEN 0.25 ELSE 0 END, 6) AS score FROM re)
+ SELECT qid, chunk_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 5""")
+def rule_rerank(spark, d):
+    fused, asked, chunks = _fused(spark, d)
+    return retrieve.rule_rerank(fused, asked, chunks).filter("rank <= 5").select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+_TOP = f"WITH {_FUSED}, top AS (SELECT * FROM (SELECT qid, chunk_id, score, routes, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 5)"
+
+
+@query(f"""{_TOP} SELECT qid, chunk_id, rank, length(text) AS size FROM (SELECT t.qid, t.chunk_id, t.rank, coalesce(v.parent_content, v.content) AS text,
+  row_number() OVER (PARTITION BY t.qid, v.document_id, v.parent_seq ORDER BY t.rank) AS n FROM top t JOIN visible v USING (chunk_id)) WHERE n = 1""")
+def parent_child(spark, d):
+    fused, _, chunks = _fused(spark, d)
+    return retrieve.one_per_parent(retrieve.top(fused), chunks).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.length("text").cast("long").alias("size"))
+
+
+@query(f"""{_TOP} SELECT t.qid, t.chunk_id, t.rank, sum(length(o.content)) + count(*) - 1 AS size, count(*) AS pieces FROM top t JOIN visible v USING (chunk_id)
+  JOIN visible o ON o.document_id = v.document_id AND o.index_version = v.index_version AND o.seq BETWEEN v.seq - 1 AND v.seq + 1 GROUP BY t.qid, t.chunk_id, t.rank""")
+def adjacent_chunks(spark, d):
+    fused, _, chunks = _fused(spark, d)
+    rows = retrieve.with_neighbours(retrieve.top(fused), chunks)
+    return rows.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.length("text").cast("double").alias("size"), "pieces")
+
+
+SQL["adjacent_chunks"] = SQL["adjacent_chunks"].replace("sum(length(o.content)) + count(*) - 1", "CAST(sum(length(o.content)) + count(*) - 1 AS DOUBLE)")
+
+
+# Context and evidence
+
+
+@query(f"{_TOP} SELECT qid, chunk_id, rank, CASE WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE n - rank // 2 + 1 END AS place FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM top)")
+def lost_in_middle(spark, d):
+    rows = context.lost_in_middle(retrieve.top(_fused(spark, d)[0]))
+    return rows.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
+
+
+@query()
+def context_compress(spark, d):
+    fused, asked, chunks = _fused(spark, d)
+    rows = retrieve.one_per_parent(retrieve.top(fused), chunks).join(asked.select("qid", "terms"), "qid")
+    return rows.select("qid", "chunk_id", context.compress(F.col("text"), F.col("terms")).alias("text"))
+
+
+@query()
+def context_budget(spark, d):
+    fused, _, chunks = _fused(spark, d)
+    return context.budgeted(retrieve.top(fused, 30).join(chunks.select("chunk_id", F.col("content").alias("text")), "chunk_id"), tokens=600)
+
+
+@query(f"""{_TOP}, found AS (SELECT qid, count(*) AS chunks, max(score) AS top_score, count(*) FILTER (routes > 1) AS cross_route_hits FROM top GROUP BY qid)
+ SELECT qid, coalesce(chunks, 0) AS chunks, coalesce(top_score, 0.0) AS top_score, coalesce(cross_route_hits, 0) AS cross_route_hits,
+  CASE WHEN coalesce(chunks, 0) < 1 THEN 'insufficient' WHEN top_score < 0.012 THEN 'low_score' ELSE 'sufficient' END AS reason FROM asked LEFT JOIN found USING (qid)""")
+def evidence_gate(spark, d):
+    fused, asked, _ = _fused(spark, d)
+    return evidence.gate(retrieve.top(fused), asked)
+
+
+@query(f"""{_TOP} SELECT qid, string_agg(regexp_replace(substring(trim(v.content), 1, 420), '\\s+', ' ', 'g') || ' [' || CAST(t.rank AS VARCHAR) || ']', chr(10) ORDER BY t.rank) AS answer FROM top t JOIN visible v USING (chunk_id) GROUP BY qid""")
+def extractive_answer(spark, d):
+    fused, _, chunks = _fused(spark, d)
+    return evidence.extractive_answer(retrieve.top(fused).join(chunks.select("chunk_id", F.col("content").alias("text")), "chunk_id"))
+
+
+def _risk(x: str) -> str:
+    some = lambda ps: " OR ".join(f"regexp_matches({x}, '(?i){p}')" for p in ps)
+    return f"CASE WHEN {some(T.HIGH_RISK)} THEN 'high' WHEN {some(T.MEDIUM_RISK)} THEN 'medium' ELSE 'none' END"
+
+
+@query(f"SELECT chunk_id, {_risk('content')} AS risk FROM structured_chunks")
+def injection_risk(spark, d):
+    return table(spark, d, "structured_chunks").select("chunk_id", T.injection_risk(F.col("content")).alias("risk"))
+
+
+_STATS = f"""stats AS (SELECT document_id, count(*) AS texts, count(*) FILTER (risk = 'high') AS high, count(*) FILTER (risk = 'medium') AS medium FROM (SELECT document_id, {_risk('content')} AS risk FROM structured_chunks) GROUP BY document_id)"""
+
+
+@query(f"WITH {_STATS} SELECT *, round((high + 0.3 * medium) / texts, 6) AS risk, CASE WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' ELSE 'none' END AS highest FROM stats")
+def injection_stats(spark, d):
+    return evidence.risk_stats(table(spark, d, "structured_chunks"), "document_id", "content")
+
+
+@query(f"WITH {_STATS} SELECT document_id, texts, high FROM stats WHERE high > 0 AND high / texts >= 0.5")
+def quarantine_docs(spark, d):
+    return evidence.quarantined(injection_stats(spark, d)).select("document_id", "texts", "high")
+
+
+_ANSWERS = "answers AS (SELECT chunk_id AS id, 5 AS sources, regexp_replace(content, '([。.])(\\s|$)', ' [' || CAST(chunk_id % 7 AS VARCHAR) || ']\\1\\2') AS answer FROM structured_chunks)"
+
+
+@query(f"""WITH {_ANSWERS}, a AS (SELECT id, sources, list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER))) AS c,
+  len(list_filter(list_transform(string_split(answer, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 12 AND NOT regexp_matches(x, '^[#>]') AND NOT regexp_matches(x, '\\[\\d+\\]'))) AS uncited FROM answers),
+ b AS (SELECT id, sources, len(c) AS cited, len(list_filter(c, lambda n: n < 1 OR n > sources)) AS invalid, uncited FROM a)
+ SELECT id, cited, invalid, uncited, sources > 0 AND cited > 0 AND invalid = 0 AND uncited = 0 AS valid FROM b""")
+def citation_check(spark, d):
+    first = F.expr("regexp_instr(content, '[。.](\\\\s|$)')")
+    answer = F.when(first > 0, F.concat(F.expr("substring(content, 1, regexp_instr(content, '[。.](\\\\s|$)') - 1)"), F.lit(" ["), (F.col("chunk_id") % 7).cast("string"), F.lit("]"), F.expr("substring(content, regexp_instr(content, '[。.](\\\\s|$)'))"))).otherwise(F.col("content"))
+    rows = evidence.citation_check(table(spark, d, "structured_chunks").select(F.col("chunk_id").alias("id"), F.lit(5).alias("sources"), answer.alias("answer")).filter("answer is not null"))
+    return rows.select("id", *[F.col(c).cast("long").alias(c) for c in ("cited", "invalid", "uncited")], "valid")
+
+
+# Chunking and text
+
+
+@query("""SELECT doc_id, CAST(i AS BIGINT) AS seq, substring(text, CAST(i * 448 + 1 AS BIGINT), 512) AS content FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 448 + 1)) AS i FROM documents WHERE length(text) > 0)""")
+def chunk_fixed(spark, d):
+    return chunk.chunks(table(spark, d, "documents"), "doc_id", "text", "fixed").select(F.col("id").alias("doc_id"), F.col("seq").cast("long").alias("seq"), "content")
+
+
+def _chunked(strategy: str):
+    def run(spark, d):
+        return chunk.chunks(table(spark, d, "documents"), "doc_id", "text", strategy).select(F.col("id").alias("doc_id"), "seq", "content")
+
+    run.__name__ = f"chunk_{strategy}"
+    return query()(run)
+
+
+chunk_paragraph, chunk_recursive, chunk_semantic = (_chunked(s) for s in ("paragraph", "recursive", "semantic"))
+
+
+@query("""WITH s AS (SELECT doc_id, trim(split_part(p, chr(2), 1)) AS section, regexp_replace(split_part(p, chr(2), 2), '^\\s+|\\s+$', '', 'g') AS body, i FROM
+ (SELECT doc_id, unnest(string_split('正文' || chr(2) || regexp_replace(text, '(?m)^#{1,6}[ \\t]+(.+)$', chr(1) || '\\1' || chr(2), 'g'), chr(1))) AS p, generate_subscripts(string_split('正文' || chr(2) || regexp_replace(text, '(?m)^#{1,6}[ \\t]+(.+)$', chr(1) || '\\1' || chr(2), 'g'), chr(1)), 1) AS i FROM documents))
+ SELECT doc_id, section, length(body) AS size FROM s WHERE body != ''""")
+def markdown_sections(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.explode(parse.markdown_sections(F.col("text"))).alias("s"))
+    return rows.select("doc_id", "s.section", F.length("s.body").cast("long").alias("size"))
+
+
+@query()
+def html_sections(spark, d):
+    """Documents wrapped in a page with navigation and a footer come back as their own text."""
+    from ferrule.runtime import arrow_map, spread
+
+    page = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><nav><p>menu</p></nav><main><p>"),
+                    F.regexp_replace(F.regexp_replace("text", "[<>&]", " "), "\n+", "</p><p>"), F.lit("</p></main><footer>x</footer></body></html>"))
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", page.alias("html"))
+
+    def run(c):
+        out = {"doc_id": [], "section": [], "text": []}
+        for i, h in zip(c["doc_id"], c["html"]):
+            for section, text in parse.html_sections(h):
+                for k, v in zip(out, (i, section, text)):
+                    out[k].append(v)
+        return out
+
+    return arrow_map(spread(rows), run, "doc_id long, section string, text string")
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_path(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""WITH l AS (SELECT segment_id, list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{feff}\\x{fffd}]', '', 'g'), '[ \\t\\x{3000}\\x{a0}]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')) AS ls FROM parsed_segments WHERE text IS NOT NULL),
+ k AS (SELECT segment_id, ls, list_transform(ls, lambda x: lower(regexp_replace(x, '[ \\t\\n\\x{b}\\f\\r]', '', 'g'))) AS ks FROM l)
+ SELECT segment_id, trim(regexp_replace(array_to_string(list_filter(ls, lambda x, i: length(ks[i]) < 12 OR list_position(ks, ks[i]) = i), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') AS text FROM k""")
+def clean_lines(spark, d):
+    return table(spark, d, "parsed_segments").filter("text is not null").select("segment_id", T.clean_lines(F.col("text")).alias("text"))
+
+
+@query()
+def pii_redact(spark, d):
+    return table(spark, d, "structured_chunks").filter("content is not null").select("chunk_id", T.redact(F.col("content")).alias("text"))
+
+
+@query("""WITH p AS (SELECT document_id, segment_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) != '') AS ls FROM parsed_segments WHERE content_type = 'page'),
+ e AS (SELECT DISTINCT document_id, segment_id, regexp_replace(trim(x), '[0-9]+', '#', 'g') AS line FROM (SELECT document_id, segment_id, unnest([ls[1], ls[-1]]) AS x FROM p WHERE len(ls) > 0)),
+ n AS (SELECT document_id, count(DISTINCT segment_id) AS pages FROM p GROUP BY document_id)
+ SELECT document_id, line, count(*) AS times, any_value(pages) AS pages FROM e JOIN n USING (document_id) GROUP BY document_id, line HAVING count(*) >= 0.6 * any_value(pages) AND count(*) > 1""")
+def repeated_lines(spark, d):
+    pages = table(spark, d, "parsed_segments").filter("content_type = 'page'")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    edge = pages.select("document_id", "segment_id", lines.alias("l")).filter(F.size("l") > 0).select("document_id", "segment_id", F.explode(F.array(F.element_at("l", 1), F.element_at("l", -1))).alias("x"))
+    edge = edge.select("document_id", "segment_id", F.regexp_replace(F.trim("x"), "[0-9]+", "#").alias("line")).distinct()
+    n = pages.groupBy("document_id").agg(F.count_distinct("segment_id").alias("pages"))
+    rows = edge.groupBy("document_id", "line").agg(F.count("*").alias("times")).join(n, "document_id")
+    return rows.filter((F.col("times") >= 0.6 * F.col("pages")) & (F.col("times") > 1))
+
+
+@query("""SELECT min(doc_id) AS first_id, count(*) AS copies, sha256(text) AS hash FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1""")
+def content_hash_dedup(spark, d):
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return rows.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").select("first_id", "copies", "hash")
+
+
+# Index
+
+
+@query("""SELECT document_id, first_id FROM (SELECT document_id, first_value(document_id) OVER w AS first_id, row_number() OVER w AS n FROM kb_documents WHERE content_hash IS NOT NULL WINDOW w AS (PARTITION BY owner_id, kb_id, content_hash ORDER BY created_at, document_id)) WHERE n > 1""")
+def duplicate_files(spark, d):
+    return index.duplicate_files(table(spark, d, "kb_documents"))
+
+
+@query("SELECT document_id, sha256(content_hash || '|512/64/recursive') AS fingerprint FROM kb_documents WHERE content_hash IS NOT NULL")
+def pipeline_fingerprint(spark, d):
+    return table(spark, d, "kb_documents").filter("content_hash is not null").select("document_id", index.fingerprint(F.col("content_hash"), "512/64/recursive").alias("fingerprint"))
+
+
+@query("SELECT chunk_id, document_id, seq FROM structured_chunks t WHERE index_version = 2 AND EXISTS (SELECT 1 FROM structured_chunks o WHERE o.index_version = 1 AND o.document_id = t.document_id AND o.seq = t.seq AND o.content = t.content)")
+def checkpoint_reuse(spark, d):
+    return index.reusable(table(spark, d, "structured_chunks"), 2, 1).select("chunk_id", "document_id", "seq")
+
+
+@query("SELECT c.chunk_id, c.document_id, c.index_version FROM structured_chunks c JOIN kb_documents d USING (document_id) WHERE c.index_version != d.active_index_version")
+def superseded_chunks(spark, d):
+    return index.superseded(table(spark, d, "structured_chunks"), table(spark, d, "kb_documents")).select("chunk_id", "document_id", "index_version")
+
+
+@query("""SELECT d.document_id, CAST(d.chunk_count AS BIGINT) AS expected, count(DISTINCT c.seq) AS written, d.chunk_count = count(DISTINCT c.seq) AS complete FROM kb_documents d
+ LEFT JOIN structured_chunks c ON c.document_id = d.document_id AND c.index_version = d.active_index_version WHERE d.active_index_version IS NOT NULL GROUP BY d.document_id, d.chunk_count""")
+def index_activation(spark, d):
+    return index.activation(table(spark, d, "structured_chunks"), table(spark, d, "kb_documents"))
+
+
+@query("SELECT c.chunk_id, coalesce(d.source_url, c.source_url) AS source_url FROM structured_chunks c LEFT JOIN kb_documents d USING (document_id)")
+def propagated_source(spark, d):
+    return index.with_source_url(table(spark, d, "structured_chunks"), table(spark, d, "kb_documents")).select("chunk_id", "source_url")
+
+
+@query("SELECT DISTINCT document_id FROM kb_documents WHERE document_id NOT IN (SELECT document_id FROM structured_chunks WHERE document_id IS NOT NULL)")
+def orphan_objects(spark, d):
+    return index.orphans(table(spark, d, "kb_documents").select("document_id").distinct(), table(spark, d, "structured_chunks"), "document_id")
+
+
+# Operations, on the event table: an event is a request, a heartbeat or a queued message
+
+
+def _now(events: DataFrame):
+    return F.lit(events.agg(F.max("ts")).first()[0])
+
+
+@query("SELECT user_id AS holder, max(ts) AS last_beat FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 6 HOURS")
+def stale_leases(spark, d):
+    events = table(spark, d, "events")
+    return operations.stale_leases(events.select(F.col("user_id").alias("holder"), "ts"), _now(events), 6 * 3600)
+
+
+@query("SELECT event_id, ts FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 50")
+def outbox_backlog(spark, d):
+    status = F.when(F.col("event_type") == "signup", "pending").otherwise("published")
+    return operations.backlog(table(spark, d, "events").withColumn("status", status)).select("event_id", "ts")
+
+
+@query("SELECT event_id, least(300.0, 2 * pow(2.0, greatest(CAST(json_extract_string(props, '$.k') AS INTEGER) % 12 - 1, 0))) AS seconds FROM events WHERE event_type = 'error'")
+def retry_backoff(spark, d):
+    attempt = F.get_json_object("props", "$.k").cast("int") % 12
+    return table(spark, d, "events").filter("event_type = 'error'").select("event_id", operations.backoff(attempt).alias("seconds"))
+
+
+@query("""SELECT event_id AS letter_id, CASE WHEN c.c_custkey IS NULL THEN 'discard' ELSE 'retry' END AS action FROM (SELECT * FROM events WHERE event_type = 'error' AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR ORDER BY ts, event_id LIMIT 20) e
+ LEFT JOIN customer c ON c.c_custkey = e.user_id""")
+def dlq_triage(spark, d):
+    events = table(spark, d, "events")
+    letters = events.filter("event_type = 'error'").select(F.col("event_id").alias("letter_id"), F.col("user_id").alias("parent_id"), F.col("ts").alias("created_at"))
+    return operations.triage(letters, table(spark, d, "customer").select(F.col("c_custkey").alias("parent_id")), _now(events))
+
+
+_PAYLOAD = "CAST(event_id AS VARCHAR) || '|' || event_type"
+
+
+@query(f"SELECT event_id, sha256({_PAYLOAD}) AS entry_hash, coalesce(lag(sha256({_PAYLOAD})) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS prev_hash FROM events")
+def audit_chain(spark, d):
+    payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type")
+    return operations.chained(table(spark, d, "events"), "user_id", ["ts", "event_id"], payload).select("event_id", "entry_hash", "prev_hash")
+
+
+@query("""WITH t AS (SELECT event_type, ts, 1 AS d FROM events UNION ALL SELECT event_type, ts + INTERVAL 600 SECONDS, -1 FROM events), s AS (SELECT event_type, ts, sum(d) AS d FROM t GROUP BY event_type, ts)
+ SELECT event_type, CAST(max(o) AS BIGINT) AS peak FROM (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS o FROM s) GROUP BY event_type""")
+def concurrency_peak(spark, d):
+    leases = table(spark, d, "events").select("event_type", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 600 SECONDS")).alias("end_ts"))
+    return operations.peak_concurrency(leases, "event_type")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+def rate_limit_windows(spark, d):
+    return operations.over_limit(table(spark, d, "events"), "user_id", "1 hour", 1)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS ratio FROM events GROUP BY 1")
+def slo_error_ratio(spark, d):
+    return operations.error_ratio(table(spark, d, "events"))
+
+
+@query("WITH r AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS ratio FROM events GROUP BY 1) SELECT window_start, round(ratio / (1 - 0.99::DOUBLE), 4) AS burn_rate, greatest(0.0, round(1 - ratio / (1 - 0.99::DOUBLE), 4)) AS budget_left FROM r")
+def slo_burn_rate(spark, d):
+    return operations.burn_rate(operations.error_ratio(table(spark, d, "events")))
+
+
+@query("""SELECT b AS upper, count(*) FILTER (value <= b) AS n FROM events, (SELECT unnest([1.0, 5.0, 10.0, 50.0, 100.0, 'inf'::DOUBLE]) AS b) GROUP BY b""")
+def latency_histogram(spark, d):
+    return operations.histogram(table(spark, d, "events"), "value", [1.0, 5.0, 10.0, 50.0, 100.0])
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark, d):
+    return operations.sessions(table(spark, d, "events"), "user_id")
+
+
+@query("SELECT count(*) AS requests, count(DISTINCT user_id) AS users, CAST(round(sum(CAST(value AS DECIMAL(18,4))), 2) AS DOUBLE) AS total, CAST(trunc(avg(CAST(value AS DECIMAL(18,4)))) AS BIGINT) AS mean FROM events")
+def usage_overview(spark, d):
+    return operations.usage_overview(table(spark, d, "events"), "value")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, count(DISTINCT user_id) AS users, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1")
+def usage_daily(spark, d):
+    return operations.usage_daily(table(spark, d, "events"), "value")
+
+
+# Streams; each must give what its batch form gives
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
+def stream_windows(spark, d):
+    out = streaming.run_to_table(streaming.windowed_counts(streaming.event_stream(spark, d)))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT event_id FROM events")
+def stream_once_each(spark, d):
+    return streaming.run_to_table(streaming.once_each(streaming.event_stream(spark, d), "event_id"), "append").select("event_id")
+
+
+@query("SELECT user_id, count(*) AS n, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+def stream_latest_state(spark, d):
+    return streaming.run_to_table(streaming.latest_state(streaming.event_stream(spark, d)), "update").select("user_id", "n", "last_type")
+
+
+# Conversations: a user's events are the messages of one conversation
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    role = F.when(F.col("event_type") == "view", "user").otherwise("assistant")
+    return table(spark, d, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), role.alias("role"), F.col("props").alias("text"))
+
+
+@query("SELECT user_id AS conv_id, event_id AS turn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 12")
+def history_last_n(spark, d):
+    return conversation.history(_messages(spark, d)).select("conv_id", "turn")
+
+
+@query("SELECT user_id AS conv_id, event_id AS turn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS a FROM events) WHERE a >= 12 AND a - 6 >= 6 AND n <= a - 6")
+def summary_window(spark, d):
+    return conversation.to_summarize(_messages(spark, d)).select("conv_id", "turn")
+
+
+_MEM = f"""cand AS (SELECT segment_id AS message_id, text, row_number() OVER (ORDER BY parsed_at DESC, segment_id DESC) - 1 AS recency FROM parsed_segments WHERE content_type = 'table' AND text IS NOT NULL AND parsed_at IS NOT NULL),
+ qs AS (SELECT qid, unnest(list_distinct({_tok('question')})) AS term FROM asked), hs AS (SELECT message_id, unnest(list_distinct({_tok('text')})) AS term FROM cand),
+ o AS (SELECT qid, message_id, count(*) AS overlap FROM hs JOIN qs USING (term) GROUP BY qid, message_id),
+ sc AS (SELECT qid, message_id, text, recency, round(5 * overlap + CASE WHEN {' OR '.join(f"contains(lower(text), '{s}')" for s in conversation.LASTING)} THEN 4 ELSE 0 END + greatest(0.0, 1 - recency / (SELECT count(*) FROM cand)), 6) AS score FROM o JOIN cand USING (message_id)),
+ un AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY score DESC, recency, message_id) AS n FROM sc) WHERE n = 1)"""
+
+
+def _memories(spark: SparkSession, d: str) -> DataFrame:
+    # Recency over all candidates: ranks by time come from a range sort and prefix counts, not from one task.
+    rows = table(spark, d, "parsed_segments").filter("content_type = 'table' and text is not null and parsed_at is not null").select(F.col("segment_id").alias("message_id"), "text", "parsed_at")
+    day = F.to_date("parsed_at")
+    later = rows.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+    later = later.select("day", (F.sum("n").over(Window.orderBy(F.desc("day"))) - F.col("n")).alias("later"))  # one row a day
+    inside = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("parsed_at"), F.desc("message_id"))) - 1
+    return rows.withColumn("day", day).join(later, "day").select("message_id", "text", (F.col("later") + inside).alias("recency"))
+
+
+@query(f"WITH {_ASKED}, {_MEM} SELECT message_id, recency FROM cand")
+def memory_candidates(spark, d):
+    return _memories(spark, d).select("message_id", "recency")
+
+
+@query(f"WITH {_ASKED}, {_MEM} SELECT qid, message_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, recency, message_id) AS rank FROM un) WHERE rank <= 6")
+def memory_rank(spark, d):
+    rows = conversation.rank_memories(_memories(spark, d), _asked(spark, d))
+    return rows.select("qid", "message_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings WHERE vec_id % 20 != 0) WHERE n <= 50),
+ s AS (SELECT q.vec_id AS qid, k.vec_id AS entry_id, round({_DOT.format(a='q.embedding', b='k.embedding')}, 6) AS score FROM embeddings q JOIN k USING (label) WHERE q.vec_id % 20 = 0)
+ SELECT qid, entry_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entry_id) AS r FROM s WHERE score >= 0.3) WHERE r = 1""")
+def semantic_cache_lookup(spark, d):
+    v = table(spark, d, "embeddings")
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("owner"), "embedding")
+    entries = v.filter("vec_id % 20 != 0").select(F.col("vec_id").alias("entry_id"), F.col("label").alias("owner"), F.col("vec_id").alias("created"), "embedding")
+    return conversation.cache_lookup(asked, entries, threshold=0.3)
+
+
+# Tenancy
+
+
+_ROLE = "CASE (ascii(substring(owner_id, 1, 1)) + ascii(substring(workspace_id, 1, 1))) % 5 WHEN 0 THEN 'owner' WHEN 1 THEN 'admin' WHEN 2 THEN 'editor' WHEN 3 THEN 'viewer' ELSE 'auditor' END"
+
+
+@query(f"""WITH m AS (SELECT DISTINCT workspace_id, owner_id AS user_id, {_ROLE} AS role FROM knowledge_bases)
+ SELECT kb_id, workspace_id FROM knowledge_bases b WHERE EXISTS (SELECT 1 FROM m WHERE m.workspace_id = b.workspace_id AND m.role IN ('owner', 'admin', 'editor') AND m.user_id = (SELECT min(owner_id) FROM knowledge_bases))""")
+def rbac_visible(spark, d):
+    bases = table(spark, d, "knowledge_bases")
+    members = bases.select("workspace_id", F.col("owner_id").alias("user_id"), F.expr(_ROLE).alias("role")).distinct()
+    user = bases.agg(F.min("owner_id")).first()[0] or ""
+    return security.secure(bases, members, user, "write").select("kb_id", "workspace_id")
+
+
+@query("SELECT k.kb_id, count(d.document_id) AS documents FROM knowledge_bases k LEFT JOIN kb_documents d USING (kb_id) GROUP BY k.kb_id")
+def kb_doc_counts(spark, d):
+    return security.document_counts(table(spark, d, "knowledge_bases"), table(spark, d, "kb_documents"))
+
+
+@query("SELECT DISTINCT k.workspace_id, d.department FROM knowledge_bases k JOIN kb_documents d USING (kb_id) WHERE d.status = 'ready'")
+def distinct_orgs(spark, d):
+    docs = table(spark, d, "kb_documents").filter("status = 'ready'").select("kb_id", "department").distinct()
+    return table(spark, d, "knowledge_bases").select("kb_id", "workspace_id").join(docs, "kb_id").select("workspace_id", "department").distinct()
+
+
+@query("SELECT k.workspace_id, CAST(coalesce(sum(d.size_bytes), 0) AS BIGINT) AS bytes, coalesce(sum(d.size_bytes), 0) > 100000000 AS over FROM knowledge_bases k LEFT JOIN kb_documents d USING (kb_id) GROUP BY k.workspace_id")
+def workspace_quota(spark, d):
+    return security.quota(table(spark, d, "knowledge_bases"), table(spark, d, "kb_documents"), 100_000_000)
+
+
+# Graph and evaluation
+
+
+_ENT = f"""tf AS (SELECT chunk_id, name, count(*) AS tf FROM (SELECT chunk_id, unnest({_tok('content')}) AS name FROM visible) GROUP BY chunk_id, name), df AS (SELECT name, count(*) AS df FROM tf GROUP BY name),
+ ent AS (SELECT chunk_id, name FROM (SELECT chunk_id, name, row_number() OVER (PARTITION BY chunk_id ORDER BY round(tf * ln(((SELECT count(*) FROM visible) + 1.0) / (df + 1.0)), 6) DESC, name) AS place FROM tf JOIN df USING (name)) WHERE place <= 8)"""
+
+
+@query(f"WITH {_VISIBLE}, {_ENT} SELECT chunk_id, name FROM ent")
+def graph_entities(spark, d):
+    return graph.entities(_visible(spark, d))
+
+
+@query(f"WITH {_VISIBLE}, {_ENT} SELECT a.name AS source, b.name AS target, count(*) AS weight FROM ent a JOIN ent b USING (chunk_id) WHERE a.name < b.name GROUP BY 1, 2")
+def graph_edges(spark, d):
+    return graph.edges(graph.entities(_visible(spark, d)))
+
+
+@query(f"""WITH {_ASKED}, {_VISIBLE}, {_ENT}, seeds AS (SELECT DISTINCT qid, unnest(terms) AS name FROM asked), h0 AS (SELECT DISTINCT qid, chunk_id FROM seeds JOIN ent USING (name)),
+ h1 AS (SELECT DISTINCT qid, e2.chunk_id FROM (SELECT DISTINCT qid, name FROM h0 JOIN ent USING (chunk_id)) JOIN ent e2 USING (name))
+ SELECT qid, chunk_id, 0 AS hop FROM h0 UNION ALL SELECT qid, chunk_id, 1 AS hop FROM h1 WHERE (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM h0)""")
+def graph_two_hop(spark, d):
+    found = written(graph.entities(_visible(spark, d)), "entities")
+    return graph.recall(_asked(spark, d).select("qid", F.explode("terms").alias("name")).distinct(), found)
+
+
+_EVAL = f"""{_TOP}, judged AS (SELECT t.qid, t.rank, len(list_filter(a.kws, lambda k: NOT contains(v.content, k))) = 0 AS rel FROM top t JOIN visible v USING (chunk_id) JOIN asked a USING (qid) WHERE a.kws IS NOT NULL),
+ firsts AS (SELECT qid, min(rank) FILTER (rel) AS first, count(*) AS found, count(*) FILTER (rel) AS good, sum(CASE WHEN rel THEN 1 / log2(rank + 1.0) ELSE 0.0 END) AS dcg FROM judged GROUP BY qid),
+ report AS (SELECT count(*) AS cases, round(avg(CASE WHEN answerable THEN CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END END), 6) AS hit_rate, round(avg(CASE WHEN answerable THEN coalesce(1.0 / first, 0.0) END), 6) AS mrr,
+  round(avg(CASE WHEN answerable THEN coalesce(dcg, 0.0) END), 6) AS dcg, round(avg(CASE WHEN answerable THEN coalesce(good / 5.0, 0.0) END), 6) AS precision,
+  round(avg(CASE WHEN NOT answerable THEN CASE WHEN coalesce(found, 0) > 0 THEN 1.0 ELSE 0.0 END END), 6) AS no_answer_fp FROM asked LEFT JOIN firsts USING (qid))"""
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    fused, asked, chunks = _fused(spark, d)
+    return evaluate.metrics(evaluate.relevant(retrieve.top(fused), chunks, asked.select("qid", "keywords")), asked.select("qid", "answerable"))
+
+
+@query(f"{_EVAL} SELECT * FROM report")
+def eval_metrics(spark, d):
+    return _report(spark, d)
+
+
+@query(f"{_EVAL} SELECT 'hit_rate' AS metric, hit_rate AS value, CAST(0.1 AS DOUBLE) AS baseline, hit_rate >= 0.1 - 0.02 AS ok FROM report UNION ALL SELECT 'mrr', mrr, 0.05, mrr >= 0.05 - 0.02 FROM report")
+def eval_gate(spark, d):
+    return evaluate.gate(_report(spark, d), {"hit_rate": 0.1, "mrr": 0.05})

@@ -32,28 +32,30 @@ def once_each(stream: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def latest_state(stream: DataFrame) -> DataFrame:
-    """``(user_id, n, last_type)`` of each user after each micro-batch: keyed state that expires a day
-    after the last event."""
+def latest_state(stream: DataFrame, late: str = "1 day", idle_ms: int = 86_400_000) -> DataFrame:
+    """``(user_id, n, last_type)`` of each user with events in a micro-batch: keyed state that expires
+    once the watermark has passed the user's last event by ``idle_ms``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         n, last, kind = state.get if state.exists else (0, -1, "")
+        newest = 0
         for b in batches:
             n += len(b)
             top = b.loc[b["event_id"].idxmax()]
+            newest = max(newest, int(b["ts"].max().timestamp() * 1000))
             if int(top["event_id"]) > last:
                 last, kind = int(top["event_id"]), str(top["event_type"])
         state.update((n, last, kind))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_type": [kind]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, last_type string", "n long, last long, kind string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, last_type string", "n long, last long, kind string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete", seconds: int = 300) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "complete", seconds: int = 120) -> DataFrame:
     """Run all that is available and return the sink: each micro-batch replaces the table (complete) or
     adds to it, under its number, so that a repeated batch overwrites itself."""
     spark = stream.sparkSession
