@@ -16,7 +16,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.runtime import arrow_map, spread, table
+from ferrule.runtime import arrow_map, by_size, spread, table
 
 from .p3_tagger import Tagger, folded
 from .p3_train import DIGITS_ZH, check_character
@@ -124,9 +124,9 @@ def private_mentions(df: DataFrame, id_col: str, text: str, field: str) -> DataF
 
     def find(c):
         rows: dict[str, list] = {k: [] for k in ("row_id", "masked", "kinds", "starts")}
-        for at in range(0, len(c["id"]), 2_000):
-            texts = c["text"][at : at + 2_000]
-            for row_id, t, spans in zip(c["id"][at : at + 2_000], texts, mentions(texts)):
+        for part in by_size(c["text"], 1_000_000):
+            texts = c["text"][part]
+            for row_id, t, spans in zip(c["id"][part], texts, mentions(texts)):
                 for k, v in zip(rows, (row_id, masked(t, spans), [s[2] for s in spans], [s[0] for s in spans])):
                     rows[k].append(v)
         return rows

@@ -197,7 +197,7 @@ class Tagger:
             starts = list(range(0, max(1, len(codes) - MARGIN), WINDOW - MARGIN))
             cuts.append((len(windows), starts, len(codes)))
             windows += [codes[s : s + WINDOW] for s in starts]
-        scores = self.emissions(windows)
+        scores = [e for k in range(0, len(windows), 3_000) for e in self.emissions(windows[k : k + 3_000])]
         wall = np.full((1, TAGS), -1e4, np.float32)  # between two texts
         wall[0, 0] = 0
         parts, at, place = [wall], [], 1

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.runtime import arrow_map, spread, table, written
+from ferrule.runtime import arrow_map, by_size, spread, table, written
 
 SIMILARITY = 0.8
 RATIO = 1.25  # a band's sizes; a partner of at least 0.8 of the size is in the same or the next band
@@ -210,9 +210,10 @@ def similar_pairs(texts: DataFrame) -> DataFrame:
     def sign(batches):
         schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("who", pa.binary())])
         for b in batches:
-            own, tokens, sizes = trigram_sets(b.column(1).to_pylist())
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            sig, who = signatures(own, tokens, sizes)
+            norms, ids = b.column(1).to_pylist(), b.column(0).to_numpy(zero_copy_only=False)
+            parts = [(signatures(*trigram_sets(norms[s])), s.start) for s in by_size(norms, 3_000_000)]
+            sig = np.concatenate([np.empty(0, np.uint64), *(p[0] for p, _ in parts)])
+            who = np.concatenate([np.empty(0, np.int64), *(p[1] + at for p, at in parts)])
             order = np.argsort(sig)
             sig, who = sig[order], ids[who[order]]
             edges = np.searchsorted((sig >> np.uint64(48 - bits)).astype(np.int64), np.arange(buckets + 1))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.runtime import arrow_map, spread, table, written
+from ferrule.runtime import arrow_map, by_size, spread, table, written
 
 BITS = 17
 GRADES = 14
@@ -176,7 +176,9 @@ def unit_counts(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches):
         held = np.zeros(1 << BITS, np.int64)
         for b in batches:
-            held += np.bincount(Tokens(b.column(0).to_pylist()).cell, minlength=1 << BITS)
+            texts = b.column(0).to_pylist()
+            for part in by_size(texts, 2_000_000):
+                held += np.bincount(Tokens(texts[part]).cell, minlength=1 << BITS)
         cells = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(held[cells])], names=["cell", "n"])
 
@@ -196,7 +198,7 @@ def reading_grades(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id",
     sent = docs.sparkSession.sparkContext.broadcast(unit_counts(docs, "text"))
 
     def measure(c):
-        x = features(c["text"], sent.value)
+        x = np.concatenate([features(c["text"][part], sent.value) for part in by_size(c["text"], 2_000_000)])
         return {"doc_id": c["doc_id"], "x": [row if row[0] > 0 else None for row in x.astype(np.float32)]}
 
     measured = written(arrow_map(docs, measure, "doc_id long, x array<float>"), "p9-features")
