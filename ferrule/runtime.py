@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -59,6 +59,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
+def by_size(texts: list[str | None], most: int) -> Iterator[slice]:
+    """Slices of a batch of texts with at most ``most`` characters each, or a single text."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to] or "") <= most):
+            size += len(texts[to] or "")
+            to += 1
+        yield slice(at, to)
+        at = to
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` to Arrow batches given and returned as columns of Python lists."""
     struct = _parse_datatype_string(schema) if isinstance(schema, str) else schema
