@@ -320,7 +320,7 @@ def test_queries_run(spark):
     from conftest import SMALL
 
     for name, f in QUERIES.items():
-        assert f(spark, SMALL).count() > 0 or name == "p7_found", name  # so few documents hold no leak
+        assert f(spark, SMALL).count() > 0 or name.startswith("p7_"), name  # so few documents hold no leak
 
 
 def test_queries_run_on_empty_tables(spark, tmp_path):
