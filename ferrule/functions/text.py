@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -58,6 +59,23 @@ def injection_risk(text: Column) -> Column:
     return F.when(found(HIGH_RISK), "high").when(found(MEDIUM_RISK), "medium").otherwise("none")
 
 
+# Misspellings that are always put right.
+TYPOS = {"帐户": "账户", "登入": "登录", "数据库库": "数据库"}
+
+
+def clean_query(text: Column, terms: dict[str, str] | None = None) -> Column:
+    """Full-width letters, digits and signs in ordinary width, control characters as blanks, blanks
+    evened out, aliases (in any case) put in their canonical form, and known misspellings corrected."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
+    s = F.translate(text, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ")
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, "[\\x00-\\x1f\\x7f]", " "), r"\s+", " "))
+    for alias, canonical in (terms or {}).items():
+        s = F.regexp_replace(s, "(?i)" + re.escape(alias), re.sub(r"([\\$])", r"\\\1", canonical))
+    for wrong, right in TYPOS.items():
+        s = F.replace(s, F.lit(wrong), F.lit(right))
+    return s
+
+
 def redact(text: Column) -> Column:
     """Mobile numbers, 18-digit identity numbers, e-mail addresses and secrets, partly masked."""
     for pattern, to in (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text as T
 from ferrule.operators import chunk, context, conversation, evaluate, evidence, graph, index, operations, retrieve, security
+from ferrule.plans import search
 from ferrule.runtime import table, written
 from ferrule.sources import parse
 from ferrule.streaming import events as streaming
@@ -196,6 +197,30 @@ SQL["adjacent_chunks"] = SQL["adjacent_chunks"].replace("sum(length(o.content))
 # Context and evidence
 
 
+@query()
+def search_context(spark, d):
+    """Questions to compressed, de-duplicated, ordered context in one plan, with all routes."""
+    asked, chunks = _asked(spark, d), _visible(spark, d)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    questions = asked.join(vectors.withColumnRenamed("chunk_id", "qid"), "qid", "left").select("qid", "question", "embedding")
+    found = written(search.search(questions, chunks, vectors, "hybrid_rerank", graph=True), "found")
+    return search.answer_context(found, questions)
+
+
+@query()
+def index_build(spark, d):
+    """Chunks of a third index version of all parsed segments, and which of them exist already."""
+    segments = table(spark, d, "parsed_segments").filter("content_type != 'page'").dropDuplicates(["document_id", "seq"]).select("document_id", "seq", "text")
+    rows, reused = search.build_index(segments, 3, previous=table(spark, d, "structured_chunks"))
+    kept = reused.select("document_id", "seq").distinct().withColumn("reused", F.lit(True))
+    return rows.join(kept, ["document_id", "seq"], "left").select("chunk_id", "document_id", "seq", F.coalesce("reused", F.lit(False)).alias("reused"))
+
+
+@query("""SELECT id, trim(regexp_replace(translate(question, '？，：（）', '?,:()'), '\\s+', ' ', 'g')) AS question FROM golden_set""")
+def query_clean(spark, d):
+    return table(spark, d, "golden_set").select("id", T.clean_query(F.col("question")).alias("question"))
+
+
 @query(f"{_TOP} SELECT qid, chunk_id, rank, CASE WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE n - rank // 2 + 1 END AS place FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM top)")
 def lost_in_middle(spark, d):
     rows = context.lost_in_middle(retrieve.top(_fused(spark, d)[0]))
@@ -325,7 +350,9 @@ def clean_lines(spark, d):
     return table(spark, d, "parsed_segments").filter("text is not null").select("segment_id", T.clean_lines(F.col("text")).alias("text"))
 
 
-@query()
+@query("""SELECT chunk_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(^|[^0-9])(1[3-9][0-9])[0-9]{4}([0-9]{4})($|[^0-9])', '\\1\\2****\\3\\4', 'g'),
+ '(^|[^0-9])([0-9]{6})[0-9]{8}([0-9]{3}[0-9Xx])($|[^0-9])', '\\1\\2********\\3\\4', 'g'), '(^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,2})[A-Za-z0-9._%+-]{0,62}@([A-Za-z0-9.-]+[.][A-Za-z]{2,})', '\\1\\2***@\\3', 'g'),
+ '(?i)(api[_-]?key|secret|password|token)\\s*[:=]\\s*[^\\s,;]+', '\\1=***', 'g') AS text FROM structured_chunks WHERE content IS NOT NULL""")
 def pii_redact(spark, d):
     return table(spark, d, "structured_chunks").filter("content is not null").select("chunk_id", T.redact(F.col("content")).alias("text"))
 
