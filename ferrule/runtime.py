@@ -33,14 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else a local one (tests only)."""
+    """The folder all executors share: spark.checkpoint.dir, else one of our own (tests only)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="ferrule-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+        app = spark.sparkContext.applicationId
+        folder = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="ferrule-"))
     return folder
 
 
