@@ -19,7 +19,7 @@ from .p3_tagger import KINDS, Tagger, folded_codes
 BACKGROUND = 40_000
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫段雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔向常汤康易乔赖文冼甄臧祁阮岑邬厉葛桑裴滕娄鄢闵柴"
 GIVEN = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华玉萍红玲芬燕彬斌浩宇轩子涵梓雨欣怡佳思晨博文俊辉建国志梅兰琴云莲真环雪荣爱妹香月莺媛瑞凡雅雯莉洁颖露瑶怡婵雁蓓仪荷丹蓉眉君琴蕊薇菁梦岚苑婕馨瑗琰韵融园艺咏卿聪澜纯毓悦昭冰爽琬茗羽希宁欣飘育滢馥筠柔竹霭凝晓欢霄枫芸菲寒伊亚宜可姬舒影荔枝恺昀瑾禾桐菡芮骞铭屿弈歆煦穗烨霖笙"
-SYLLABLES = "al an ar bel ber bran bry cal car cor dal dor dun ed el en fal far gar gil har hal hol is jo ka kel lan len lin lor mal mar mer mor nel nor ol or os pel per ral ren ro sab sel tam tes thes tor ul val ver wyn yor zel".split()
+SYLLABLES = "quil qui ox hawt tav net tun bra mer wyn tam ros ils bren zel yor la ta le si my al an ar bel ber bran bry cal car cor dal dor dun ed el en fal far gar gil har hal hol is jo ka kel lan len lin lor mal mar mer mor nel nor ol or os pel per ral ren ro sab sel tam tes thes tor ul val ver wyn yor zel".split()
 ENDINGS = "a an by croft dale den don er field ford gate ham ingham is key land ley low man mere moor more nor on quay ra row sa sen sleeve son ton trell vane wall way well wick wood worth".split()
 FIRST = "Anna Ben Carl Dora Eve Frank Grace Henry Iris Jack Karen Leo Maria Nina Oscar Paul Rose Sam Tina Victor Wendy".split()
 ROADS_ZH = "大道 路 街 北路 南路 东路 西路 巷 胡同 里".split()
@@ -48,8 +48,8 @@ CARRIERS = {
 }
 # Sentences without a mention that look like one; {d} stands for a digit, {u} for a word.
 TRAPS = (
-    "运单12{d}{d}{d}{d}{d}{d}{d}{d}{d}已签收。|流水号{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}已作废。|日志编号{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}。|物料编码{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}停用。|会议号{d}{d}{d}{d} {d}{d}{d}{d} {d}{d}{d}{d}。|号码已隐藏：138****{d}{d}{d}{d}。|净重1{d}{d}0.{d}{d}{d}{d}克，版本号2.13.{d}{d}{d}{d}。|见附件 notes@v{d}{d}{d}{d}。|测试环境地址为路由{d}{d}{d}{d}号口。|联系人信息见档案。|客户甲方代表到场。|住址栏为空。|特此说明。|以上内容供参考。|（修订稿）|【内部】|批号{d}{d}{d}{d}{d}{d}{d}{d}已入库。|订单{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}。|电话：137****{d}{d}{d}{d}。|身份证号：{d}{d}{d}{d}{d}{d}********{d}{d}{d}{d}。|联系人：无。|由女士专区签收。|先生产后销售。|高峰期暂停。|金额为{d}{d}{d}{d}{d}元。|方向盘已更换。|白天可接。|路由表已更新。|请找管理员办理交接。|据系统记录，机器早已停转。|昨日服务器反映账号无法登录。|这份单子是系统写的。|{b}|经办：系统，复核人略。|{u}模块|# 总则 {u}\n|{u} 机密",
-    "Waybill 12{d}{d}{d}{d}{d}{d}{d}{d}{d} was signed for.|Batch number {d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d} is void.|Log entry {d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}.|Material {d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d} is retired.|Meeting code {d}{d}{d}{d} {d}{d}{d}{d} {d}{d}{d}{d}.|The number is hidden: ***-***-{d}{d}{d}{d}.|See tag build@v{d}{d}{d}{d}.|Port {d}{d}{d}{d} on lane two stays shut.|The {u} Road project was renamed.|Ask the contact named in the file.|Home address left blank.|Internal note.|For reference only.|Draft.|(revised)|Release 2.13.{d}{d}{d}{d} weighs 1{d}{d}0.{d}{d} grams.|The {u} Lane pilot ended.|Phone: ***|Contact: none.|The key is still with the office.|Please ask the admin for the handover.|According to the log the fan had stopped.|The {u} branch complained the same day.|Yesterday the {u} gateway could not log in.|Signed for by the office.|The {u} access log and the {u} project group.|The {u} platform will forward it.|Order {d}{d}{d}-{d}{d}-{d}{d}{d}{d}{d} shipped.|{b}|{b} {b}|\n{u} Emergency Plan\n|\n{u} Operations Manual\n- {d}{d} -\n|\n{u} Service Policy\n|\n{u} Acceptance Rules  Edition {d}\n|\n{u} Maintenance Guide\n|# Overview {u}\n|Total\n{d}{d}\n|| {u} | {d}{d}{d} |\n| {u} | {d}{d}{d}{d} |",
+    "运单12{d}{d}{d}{d}{d}{d}{d}{d}{d}已签收。|流水号{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}已作废。|日志编号{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}。|物料编码{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}停用。|会议号{d}{d}{d}{d} {d}{d}{d}{d} {d}{d}{d}{d}。|号码已隐藏：138****{d}{d}{d}{d}。|净重1{d}{d}0.{d}{d}{d}{d}克，版本号2.13.{d}{d}{d}{d}。|见附件 notes@v{d}{d}{d}{d}。|测试环境地址为路由{d}{d}{d}{d}号口。|联系人信息见档案。|客户甲方代表到场。|住址栏为空。|特此说明。|以上内容供参考。|（修订稿）|【内部】|批号{d}{d}{d}{d}{d}{d}{d}{d}已入库。|订单{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}。|电话：137****{d}{d}{d}{d}。|身份证号：{d}{d}{d}{d}{d}{d}********{d}{d}{d}{d}。|联系人：无。|由女士专区签收。|先生产后销售。|高峰期暂停。|金额为{d}{d}{d}{d}{d}元。|方向盘已更换。|白天可接。|路由表已更新。|请找管理员办理交接。|据系统记录，机器早已停转。|昨日服务器反映账号无法登录。|这份单子是系统写的。|{b}|结果抄送{u}邮件组。|在{u}上线之后，|当{u}与{u}同时运行时，|经办：系统，复核人略。|{u}模块|# 总则 {u}\n|{u} 机密",
+    "Waybill 12{d}{d}{d}{d}{d}{d}{d}{d}{d} was signed for.|Batch number {d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d} is void.|Log entry {d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}.|Material {d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d} is retired.|Meeting code {d}{d}{d}{d} {d}{d}{d}{d} {d}{d}{d}{d}.|The number is hidden: ***-***-{d}{d}{d}{d}.|See tag build@v{d}{d}{d}{d}.|Port {d}{d}{d}{d} on lane two stays shut.|The {u} Road project was renamed.|Ask the contact named in the file.|Home address left blank.|Internal note.|For reference only.|Draft.|(revised)|Release 2.13.{d}{d}{d}{d} weighs 1{d}{d}0.{d}{d} grams.|The {u} Lane pilot ended.|Phone: ***|Contact: none.|The key is still with the office.|Please ask the admin for the handover.|According to the log the fan had stopped.|The {u} branch complained the same day.|Yesterday the {u} gateway could not log in.|Signed for by the office.|The {u} access log and the {u} project group.|The {u} platform will forward it.|Order {d}{d}{d}-{d}{d}-{d}{d}{d}{d}{d} shipped.|{b}|{b} {b}|\n{u} Emergency Plan\n|\n{u} Operations Manual\n- {d}{d} -\n|\n{u} Service Policy\n|\n{u} Acceptance Rules  Edition {d}\n|\n{u} Maintenance Guide\n|# Overview {u}\n|and copy the result to {u}.|copy the result to {u}. |tell the {u} station. |at the cost of the {u} account.|After {u} goes live, |review the settings of {u}. |Total\n{d}{d}\n|| {u} | {d}{d}{d} |\n| {u} | {d}{d}{d}{d} |",
 )
 TRAPS = tuple(t.split("|") for t in TRAPS)
 CARRIERS = {k: tuple(c.split("|") for c in v) for k, v in CARRIERS.items()}
@@ -128,7 +128,7 @@ class Maker:
             return r.choice(SURNAMES) + "".join(r.choice(GIVEN) for _ in range(r.choice([1, 2, 2])))
         first = r.choice([r.choice(FIRST), self.word()[:6].capitalize(), (r.choice(SYLLABLES) + r.choice(SYLLABLES)).capitalize()])
         last = self.surname()
-        return r.choice([f"{first} {last}", f"{first} {last}", f"{last.upper()}, {first}", f"{first[0]}. {last}", f"{first} {self.surname()[0]}. {last}", f"{first} {last}"])
+        return r.choice([f"{first} {last}", f"{first} {last}", f"{last.upper()}, {first}", f"{first[0]}. {last}", f"{first[0]}. {last}", f"{first} {self.surname()[0]}. {last}", f"{first} {last}"])
 
     def sentence(self) -> tuple[str, list[tuple[int, int, str]], bool]:
         """A sentence with a mention or a trap, and its spans."""
