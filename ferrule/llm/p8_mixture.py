@@ -59,8 +59,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     t = t.join(sizes, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     ok = (F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     t = t.withColumn("cap", F.when(ok, F.col("available") * F.col("max_repeats")).otherwise(0)).withColumn("share", F.when(ok, F.col("target_share")).otherwise(0.0))
-    whole = t.agg(F.sum("share").alias("present"), F.min(F.when(ok, F.col("cap") / F.col("share"))).alias("most"))
-    t = t.crossJoin(F.broadcast(whole))  # one row
+    t = t.withColumns({"present": t.agg(F.sum("share")).scalar(), "most": t.agg(F.min(F.when(ok, F.col("cap") / F.col("share")))).scalar()})
     total = F.col("most") * F.col("present") if total_tokens is None else F.lit(float(total_tokens))
     wanted = F.when(F.col("present") > 0, F.floor(total * F.col("share") / F.col("present"))).otherwise(0)
     return t.select("source", "target_share", "max_repeats", "available", F.least(wanted, F.col("cap")).cast("long").alias("budget"))
@@ -100,8 +99,7 @@ def share_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.groupBy("source").agg(F.max("target_share").alias("target_share")).filter("source is not null").join(used, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     t = t.select("source", "target_share", zero("used_tokens"), zero("records"), zero("max_epoch"))
-    whole = t.agg(F.sum("used_tokens").alias("whole"))
-    return t.crossJoin(F.broadcast(whole)).select("source", "target_share", F.when(F.col("whole") > 0, F.col("used_tokens") / F.col("whole")).otherwise(0.0).alias("actual_share"), "used_tokens", "records", "max_epoch")
+    return t.withColumn("whole", t.agg(F.sum("used_tokens")).scalar()).select("source", "target_share", F.when(F.col("whole") > 0, F.col("used_tokens") / F.col("whole")).otherwise(0.0).alias("actual_share"), "used_tokens", "records", "max_epoch")
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
