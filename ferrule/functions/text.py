@@ -88,6 +88,32 @@ def redact(text: Column) -> Column:
     return text
 
 
+# Parts of names under which a value is secret.
+SECRET_NAMES = "password|secret|token|api_key"
+
+
+def redact_map(values: Column) -> Column:
+    """A map of strings with every value redacted, and hidden whole under a secret name."""
+    return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike(SECRET_NAMES), F.lit("***")).otherwise(redact(v)))
+
+
+def for_prompt(text: Column, most: int = 600) -> Column:
+    """A remembered statement without secrets, numbers of persons and addresses, on one line, cut to ``most``."""
+    for pattern, to in (
+        (r"(?i)(api[_ -]?key|access[_ -]?token|secret|password|密码)\s*[:：=]\s*\S+", "$1：[已隐藏]"),
+        (r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "[手机号已隐藏]"),
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[邮箱已隐藏]"),
+        (r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])", "[身份证号已隐藏]"),
+    ):
+        text = F.regexp_replace(text, pattern, to)
+    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
+
+
+def substantive(answer: Column, least: int = 12) -> Column:
+    """Whether anything of length is left without citations and markup."""
+    return F.length(F.regexp_replace(answer, r"\[\d+\]|[#>*`_\s-]", "")) >= least
+
+
 def clean_lines(text: Column) -> Column:
     """Line ends and blanks evened out, control characters dropped, lines trimmed, and lines of twelve
     or more characters kept only the first time (without regard to blanks and case)."""

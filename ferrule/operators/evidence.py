@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as T
@@ -91,6 +91,15 @@ def repair_citations(answer: str | None, sources: int) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
+def cited_claims(answers: DataFrame, most: int = 6) -> DataFrame:
+    """``(id, claim, sources)`` of the first ``most`` factual lines of (id, answer, sources) that cite
+    only numbers in range: what an entailment check would be given."""
+    rows = answers.select("id", F.col("sources").alias("_n"), F.posexplode(factual_lines(F.col("answer"))).alias("line", "claim"))
+    rows = rows.withColumn("sources", F.array_distinct(citations(F.col("claim")))).filter((F.size("sources") > 0) & F.forall("sources", lambda n: (n >= 1) & (n <= F.col("_n"))))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("line"))
+    return rows.withColumn("_p", place).filter(F.col("_p") <= most).select("id", "claim", "sources")
+
+
 def extractive_answer(ranked: DataFrame, most: int = 5, width: int = 420) -> DataFrame:
     """An answer made of the first ``most`` excerpts, numbered, for each query."""
     line = F.concat(F.regexp_replace(F.substring(F.trim("text"), 1, width), r"\s+", " "), F.lit(" ["), F.col("rank").cast("string"), F.lit("]"))

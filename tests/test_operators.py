@@ -179,3 +179,26 @@ def test_only_one_select(spark):
     for sql in ("drop table x", "select 1; select 2"):
         with pytest.raises(ValueError):
             parse.read_query(spark, sql)
+
+
+def test_secrets_are_hidden(spark):
+    m = F.create_map(F.lit("api_key"), F.lit("abc"), F.lit("note"), F.lit("call 13812345678"))
+    assert one(spark, T.redact_map(m), q=1) == {"api_key": "***", "note": "call 138****5678"}
+    out = one(spark, T.for_prompt(F.col("t")), t="我喜欢 绿色\n密码: hunter2, 电话13812345678, a.b@c.test")
+    assert "hunter2" not in out and "13812345678" not in out and "a.b@c" not in out and out.startswith("我喜欢 绿色")
+
+
+def test_claims_and_substance(spark):
+    df = spark.createDataFrame([(1, "The limit is twelve days [1].\nThe other is thirteen [9].\nshort [1]", 2), (2, None, 1)], "id int, answer string, sources int")
+    assert values(evidence.cited_claims(df), "id", "claim", "sources") == [(1, "The limit is twelve days [1].", [1])]
+    assert one(spark, T.substantive(F.col("t")), t="## [1] [2] abc") is False and one(spark, T.substantive(F.col("t")), t="Twelve days at most [1]") is True
+
+
+def test_query_cleaning(spark):
+    assert one(spark, T.clean_query(F.col("t"), {"hr": "人事"}), t=" ＨＲ\t帐户　登入 ") == "人事 账户 登录"
+
+
+def test_memories_rank_lasting_statements_first(spark):
+    c = spark.createDataFrame([(1, 0, "报销 流程 是 什么"), (2, 1, "记住 我喜欢 报销 流程 用表格"), (3, 2, "无关")], "message_id int, recency int, text string")
+    q = spark.createDataFrame([(1, "报销 流程 表格")], "qid int, question string")
+    assert [r[0] for r in sorted(values(conversation.rank_memories(c, q), "message_id", "rank"), key=lambda r: r[1])] == [2, 1]
