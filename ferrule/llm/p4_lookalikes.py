@@ -126,21 +126,19 @@ def equal_readings(forms: DataFrame) -> DataFrame:
     stored values' representatives (smallest id) and, for each further row, the pair with the
     representative of another value, so that no row's link is lost and nothing quadratic is made.
     """
-    rows = forms.filter("form is not null").select("field", "id", F.md5("form").alias("k"), F.md5("value").alias("v"))
-    values = rows.groupBy("field", "k", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    groups = (values.groupBy("field", "k").agg(F.count("*").alias("values"), F.sum("n").alias("rows"), F.min_by("v", "rep").alias("v1"), F.min("rep").alias("rep1"))
-              .filter("values > 1"))
-    second = values.join(groups.select("field", "k", "v1"), ["field", "k"]).filter("v != v1").groupBy("field", "k").agg(F.min("rep").alias("rep2"))
-    groups = groups.join(second, ["field", "k"])
-    hit = rows.join(groups, ["field", "k"])
+    rows = forms.filter("form is not null").select("field", "id", F.unhex(F.md5("form")).alias("k"), F.unhex(F.md5("value")).alias("v"))
+    groups = rows.groupBy("field", "k").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("rows")).filter("low != high")
+    # Few readings are stored in several ways; only their rows go on.
+    hit = written(rows.join(groups, ["field", "k"]), "p4-hit")
     small, big = hit.filter(F.col("rows") <= PAIR_LIMIT), hit.filter(F.col("rows") > PAIR_LIMIT)
     a, b = (small.select("field", "k", F.col("id").alias(f"id_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab")
     every = a.join(b, ["field", "k"]).filter("id_a < id_b and v_a != v_b").select("field", "id_a", "id_b")
-    other = F.when(F.col("v") == F.col("v1"), F.col("rep2")).otherwise(F.col("rep1"))
-    star = big.select("field", F.least("id", other).alias("id_a"), F.greatest("id", other).alias("id_b"))
-    reps = values.join(groups.filter(F.col("rows") > PAIR_LIMIT), ["field", "k"])
-    ra, rb = (reps.select("field", "k", F.col("rep").alias(f"id_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab")
-    between = ra.join(rb, ["field", "k"]).filter("id_a < id_b and v_a != v_b").select("field", "id_a", "id_b")
+    first = big.groupBy("field", "k").agg(F.min(F.when(F.col("v") == F.col("low"), F.col("id"))).alias("of_low"), F.min(F.when(F.col("v") == F.col("high"), F.col("id"))).alias("of_high"))
+    other = F.when(F.col("v") == F.col("low"), F.col("of_high")).otherwise(F.col("of_low"))
+    star = big.join(first, ["field", "k"]).select("field", F.least("id", other).alias("id_a"), F.greatest("id", other).alias("id_b"))
+    reps = big.groupBy("field", "k", "v").agg(F.min("id").alias("rep"))
+    ra, rb = (reps.select("field", "k", F.col("rep").alias(f"id_{x}")) for x in "ab")
+    between = ra.join(rb, ["field", "k"]).filter("id_a < id_b").select("field", "id_a", "id_b")
     return every.unionByName(star).unionByName(between).distinct()
 
 
@@ -149,6 +147,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = lookalike_forms(req, "request_id", "username", "username").unionByName(
         lookalike_forms(req, "request_id", "phone", "phone", phone=True)).unionByName(
         lookalike_forms(seg, "segment_id", "text", "text"))
+    # What is compared later fits in 32 bytes a row; the texts stay behind.
     slim = forms.filter("form is not null").select("field", "id", F.md5("form").alias("form"), F.md5("value").alias("value"))
     return equal_readings(written(slim, "p4"))
 
