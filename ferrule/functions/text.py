@@ -120,9 +120,10 @@ def clean_lines(text: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\ufeff\ufffd]", "")
     s = F.regexp_replace(s, "[ \\t\u3000\u00a0]+", " ")
     lines = F.transform(F.split(s, "\n"), lambda x: F.trim(x))
-    key = lambda x: F.lower(F.regexp_replace(x, "\\s", ""))
-    keys = F.transform(lines, key)
-    first = F.filter(lines, lambda x, i: (F.length(key(x)) < 12) | (F.array_position(keys, key(x)) == i + 1))
+    # Each array below is bound once, as the field of a single struct; a lambda would make it anew for every line.
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    with_keys = bound(lines, lambda ls: F.struct(ls.alias("l"), F.transform(ls, lambda x: F.lower(F.regexp_replace(x, "\\s", ""))).alias("k")))
+    first = bound(with_keys, lambda b: F.filter(b["l"], lambda x, i: (F.length(F.get(b["k"], i)) < 12) | (F.array_position(b["k"], F.get(b["k"], i)) == i + 1)))
     return F.trim(F.regexp_replace(F.array_join(first, "\n"), "\n{3,}", "\n\n"))
 
 

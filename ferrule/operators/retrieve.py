@@ -53,8 +53,9 @@ def keyword_route(queries: DataFrame, chunks: DataFrame, most: int = CANDIDATES,
     """
     asked = queries.select("qid", F.explode("terms").alias("term"))
     postings = chunks.select("chunk_id", F.explode(T.word_tokens(F.col("content"))).alias("term"))
-    # Counted per chunk and term first, so that a common term's rows are few before they meet the queries.
-    counted = postings.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    # Only the queries' terms go on, counted by chunk before they meet the queries, so that a term asked
+    # for often isn't multiplied by its occurrences.
+    counted = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     hits = counted.join(asked, "term").groupBy("qid", "chunk_id").agg(F.sum("tf").alias("hits"))
     best = _ranked(hits, [F.desc("hits"), F.asc("chunk_id")], most).select("qid", "chunk_id", F.col("rank").alias("first"))
     rows = best.join(chunks.select("chunk_id", F.lower("content").alias("body")), "chunk_id").join(queries.select("qid", "terms"), "qid")

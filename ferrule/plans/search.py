@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text as T
 from ferrule.operators import chunk, context, evidence, graph, index, retrieve
+from ferrule.runtime import written
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,8 @@ def search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None =
     if p.graph:
         found = graph.recall(asked.select("qid", F.explode("terms").alias("name")).distinct(), graph.entities(chunks), p.hops)
         routes["graph"] = retrieve.top(found.select("qid", "chunk_id", (-F.col("hop")).alias("score")), p.candidates)
-    fused = retrieve.fuse(routes)
+    # A few rows a question, each needed several times below: written once, so that no route runs twice.
+    fused = written(retrieve.fuse(routes), "fused")
     if p.rerank:
         scored = retrieve.rule_rerank(fused, asked, chunks).select("qid", "chunk_id", "score").join(fused.select("qid", "chunk_id", "routes"), ["qid", "chunk_id"])
     else:
@@ -60,7 +62,7 @@ def search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None =
     if p.policy != "allow":
         texts = scored.join(chunks.select("chunk_id", F.col("content").alias("text")), "chunk_id")
         scored = evidence.apply_policy(texts, p.policy).drop("text")
-    best = retrieve.top(scored, p.top)
+    best = written(retrieve.top(scored, p.top), "best")
     if p.parents:
         text = retrieve.one_per_parent(best.select("qid", "chunk_id", "rank"), chunks)
     elif p.neighbours:
