@@ -79,14 +79,17 @@ def _visible(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.visible_chunks(table(spark, d, "structured_chunks"), table(spark, d, "kb_documents"))
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.vector_route(table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"),
-                                 table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"))
+def _vectors(spark: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
+    """The nearest of all vectors, or of those of ``chunks`` only: what is not visible takes up no place."""
+    held = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    if chunks is not None:
+        held = held.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return retrieve.vector_route(table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), held)
 
 
 def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked, chunks = _asked(spark, d), _visible(spark, d)
-    vectors = _vectors(spark, d).join(asked.select("qid"), "qid", "left_semi").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    vectors = _vectors(spark, d, chunks).join(asked.select("qid"), "qid", "left_semi")
     return retrieve.fuse({"keyword": retrieve.keyword_route(asked, chunks), "title": retrieve.title_route(asked, chunks), "vector": vectors}), asked, chunks
 
 
