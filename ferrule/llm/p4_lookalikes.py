@@ -32,7 +32,8 @@ PAIR_LIMIT = 400  # rows of one reading up to which all pairs are written; beyon
 
 def _kind(c: str) -> bool:
     """True if the character may change or vanish in the canonical form."""
-    if c in LOOKALIKE or c in SIGNS or unicodedata.combining(c):
+    # Of a letter with marks its base counts: a look-alike stored precomposed is one too.
+    if unicodedata.normalize("NFKD", c)[0] in LOOKALIKE or c in SIGNS or unicodedata.combining(c):
         return True
     cat = unicodedata.category(c)
     if cat in ("Cf", "Zs", "Zl", "Zp", "Nd", "Cc"):
@@ -58,9 +59,10 @@ def _unstable() -> re.Pattern:
 
 @functools.lru_cache(maxsize=65536)
 def _segment(s: str) -> str:
-    """Canonical form of one segment, which starts at a boundary."""
+    """Canonical form of one segment, which starts at a boundary. Look-alikes are mapped on the bases
+    of decomposed letters; only then are these composed."""
     out = []
-    for c in unicodedata.normalize("NFKC", s):
+    for c in unicodedata.normalize("NFKD", s):
         cat = unicodedata.category(c)
         if cat == "Cf" or cat == "Cc" and c not in "\n\t" or "︀" <= c <= "️":
             continue

@@ -4,6 +4,7 @@ import pytest
 from compare import connect, differences
 from conftest import SMALL
 
+from ferrule.llm import p4_lookalikes
 from ferrule.plans import catalog
 
 
@@ -14,3 +15,16 @@ def test_vector_route_filters_before_it_ranks(spark, name):
     assert all_vectors in catalog.SQL[name]
     sql = catalog.SQL[name].replace(all_vectors, f"{all_vectors} AND e.vec_id IN (SELECT chunk_id FROM visible)")
     assert differences(catalog.QUERIES[name](spark, SMALL), connect(SMALL), sql) == ""
+
+
+def test_p4_accented_lookalikes():
+    c = p4_lookalikes.canonical
+    for accented, foreign in (("\u00f6", "\u043e\u0308"), ("\u00f6", "\u04e7"), ("\u00eb", "\u0451"), ("\u00ef", "\u0457"), ("\u00e1", "\u03b1\u0301"), ("\u00e1", "\u03ac"), ("\u00f6", "\u043e\u200b\u0308")):
+        assert c(f"bj{foreign}rk8825") == f"bj{accented}rk8825" == c(f"bj{accented}rk8825"), foreign
+    assert c("\u0439\u0457") == "\u0439\u00ef" and c("\uac00\u0301") == "\uac00\u0301"
+
+
+def test_p4_accented_lookalikes_are_found(spark):
+    df = spark.createDataFrame([(1591, "bj\u00f6rk8825"), (4551, "bj\u043e\u0308rk8825"), (3, "bjork8825")], "id long, value string")
+    got = p4_lookalikes.equal_readings(p4_lookalikes.lookalike_forms(df, "id", "value", "f")).collect()
+    assert [(r.id_a, r.id_b) for r in got] == [(1591, 4551)]
