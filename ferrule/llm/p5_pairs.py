@@ -278,22 +278,26 @@ def _training(sound: list[tuple], rng: random.Random) -> tuple[list[tuple], np.n
 def fit_pairs(pairs: list[tuple], seed: int = 5) -> PairModel:
     """Score each fold of the pairs by a fit to the others, drop what looks defective, fit to the rest.
 
-    Responses of one shape are in one fold, so a defect that recurs isn't learned as sound; a shape
-    that makes up COMMON of all pairs stays.
+    Responses of one shape are in one fold, so a defect that recurs isn't learned as sound; answers to
+    answerable and to unanswerable questions are shapes of their own. A shape that makes up COMMON of
+    all pairs is judged as one: it stays or goes as most of its pairs do.
     """
     rng, nrng = random.Random(seed), np.random.default_rng(seed)
     pairs = [p for p in pairs if p[0]]
     rng.shuffle(pairs)
-    shapes = [_shape(p[1] or "") for p in pairs]
+    shapes = [(_shape(p[1] or ""), p[2] is not False) for p in pairs]
     often = {s for s, n in Counter(shapes).items() if n >= max(COMMON * len(pairs), 4)}
-    fold = [zlib.crc32(s.encode()) % FOLDS for s in shapes]
-    sound = [p for p, s in zip(pairs, shapes) if s in often]
+    fold = [zlib.crc32(repr(s).encode()) % FOLDS for s in shapes]
+    sound = []
     for k in range(FOLDS):
-        test = [p for p, f, s in zip(pairs, fold, shapes) if f == k and s not in often]
-        train = [p for p, f, s in zip(pairs, fold, shapes) if f != k or s in often]
+        test = [(p, s) for p, f, s in zip(pairs, fold, shapes) if f == k]
+        train = [p for p, f in zip(pairs, fold) if f != k]
         if test and train:
-            bad = (PairModel().fit(*_training(train, rng), nrng).score(test) >= 0.5).any(1)
-            sound += [p for p, b in zip(test, bad) if not b]
+            bad = (PairModel().fit(*_training(train, rng), nrng).score([p for p, _ in test]) >= 0.5).any(1)
+            votes = Counter()
+            for (_, s), b in zip(test, bad):
+                votes[s] += 1 if b else -1
+            sound += [p for (p, s), b in zip(test, bad) if not (votes[s] > 0 if s in often else b)]
     x, y = _training(sound or pairs, rng)
     held = nrng.random(len(x)) < 0.15
     model = PairModel().fit([p for p, h in zip(x, held) if not h], y[~held], nrng)
