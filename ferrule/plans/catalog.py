@@ -213,7 +213,9 @@ def search_context(spark, d):
 @query()
 def index_build(spark, d):
     """Chunks of a third index version of all parsed segments, and which of them exist already."""
-    segments = table(spark, d, "parsed_segments").filter("content_type != 'page'").dropDuplicates(["document_id", "seq"]).select("document_id", "seq", "text")
+    # A segment written twice counts once, the one written last.
+    newest = Window.partitionBy("document_id", "seq").orderBy(F.desc("parsed_at"), F.desc("segment_id"))
+    segments = table(spark, d, "parsed_segments").withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select("document_id", "seq", "text")
     rows, reused = search.build_index(segments, 3, previous=table(spark, d, "structured_chunks"))
     kept = reused.select("document_id", "seq").distinct().withColumn("reused", F.lit(True))
     return rows.join(kept, ["document_id", "seq"], "left").select("chunk_id", "document_id", "seq", F.coalesce("reused", F.lit(False)).alias("reused"))
