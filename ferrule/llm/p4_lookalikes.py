@@ -144,21 +144,18 @@ def equal_readings(forms: DataFrame) -> DataFrame:
     return every.unionByName(star).unionByName(between).distinct()
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical form of every username, phone and text, with the stored value."""
     req, seg = table(spark, sf_dir, "register_requests"), table(spark, sf_dir, "parsed_segments")
-    forms = lookalike_forms(req, "request_id", "username", "username").unionByName(
+    return lookalike_forms(req, "request_id", "username", "username").unionByName(
         lookalike_forms(req, "request_id", "phone", "phone", phone=True)).unionByName(
         lookalike_forms(seg, "segment_id", "text", "text"))
-    # What is compared later fits in 32 bytes a row; the texts stay behind.
-    slim = forms.filter("form is not null").select("field", "id", F.md5("form").alias("form"), F.md5("value").alias("value"))
-    return equal_readings(written(slim, "p4"))
 
 
-def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical form of every username and phone, with the stored value."""
-    req = table(spark, sf_dir, "register_requests")
-    return lookalike_forms(req, "request_id", "username", "username").unionByName(
-        lookalike_forms(req, "request_id", "phone", "phone", phone=True))
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # What is compared later fits in 32 bytes a row; the texts stay behind.
+    slim = p4_forms(spark, sf_dir).filter("form is not null").select("field", "id", F.md5("form").alias("form"), F.md5("value").alias("value"))
+    return equal_readings(written(slim, "p4"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms}

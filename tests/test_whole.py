@@ -53,3 +53,8 @@ def test_index_build_takes_every_segment(spark, tmp_path):
     assert sorted((r.document_id, r.seq) for r in got) == [("a", 0), ("a", 100_000), ("b", 0)]
     key = hashlib.md5(b"a|0|0|3|the new text").hexdigest()
     assert key in {r.chunk_id for r in got}
+
+
+def test_p4_forms_give_the_texts_too(spark):
+    got = {r.field: r["count"] for r in p4_lookalikes.p4_forms(spark, SMALL).groupBy("field").count().collect()}
+    assert got["text"] == spark.read.parquet(f"{SMALL}/parsed_segments.parquet").count() and set(got) == {"username", "phone", "text"}
