@@ -64,8 +64,10 @@ _TITLE = f"""held AS (SELECT DISTINCT chunk_id, document_id, seq, unnest({_tok("
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 _VECTOR = f"""vec AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank
   FROM (SELECT q.vec_id AS qid, e.vec_id AS chunk_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0))"""
-_FUSED = f"""{_ASKED}, {_VISIBLE}, {_KEYWORD}, {_TITLE}, {_VECTOR},
- every AS (SELECT qid, chunk_id, rank FROM keyword UNION ALL SELECT qid, chunk_id, rank FROM title UNION ALL SELECT vec.qid, vec.chunk_id, vec.rank FROM vec JOIN asked USING (qid) JOIN visible USING (chunk_id) WHERE vec.rank <= 30),
+# What is not visible takes up none of the places.
+_VISIBLE_VECTOR = _VECTOR.replace("q.vec_id % 20 = 0", "q.vec_id % 20 = 0 AND e.vec_id IN (SELECT chunk_id FROM visible)")
+_FUSED = f"""{_ASKED}, {_VISIBLE}, {_KEYWORD}, {_TITLE}, {_VISIBLE_VECTOR},
+ every AS (SELECT qid, chunk_id, rank FROM keyword UNION ALL SELECT qid, chunk_id, rank FROM title UNION ALL SELECT vec.qid, vec.chunk_id, vec.rank FROM vec JOIN asked USING (qid) WHERE vec.rank <= 30),
  fused AS (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score, count(*) AS routes FROM every GROUP BY qid, chunk_id)"""
 
 
