@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -60,6 +61,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
+def built(sent: Broadcast, make: Callable):
+    """What ``make`` builds of a broadcast's value, once in each Python worker and not once a task: the
+    broadcast object lives in the worker as long as jobs use it."""
+    if not hasattr(sent, "_built"):
+        sent._built = make(sent.value)
+    return sent._built
+
+
 def by_size(texts: list[str | None], most: int) -> Iterator[slice]:
     """Slices of a batch of texts with at most ``most`` characters each, or a single text."""
     at = 0
