@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -35,26 +37,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one of our own (tests only)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of
+    its own; a cluster has no folder of which that would be true, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="ferrule-"))
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="ferrule-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut in the lineage that survives
-    the loss of executors and keeps an expensive stage from running twice."""
+    the loss of executors and keeps an expensive stage from running twice. The tables of a session stay
+    until ``clean`` or the end of the session's process, as later reads of results need them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = []
+        atexit.register(clean, spark)
+    _WRITTEN[app].append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    own = _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [])
+    for path in [p for p in own if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in df.inputFiles())]:
+        own.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this session's queries wrote; results not yet read are lost."""
+    try:
+        for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001 - at the end of the process the session may be gone
+        return
+
+
 def spread(df: DataFrame) -> DataFrame:
     """More partitions for a Python-heavy stage, only where the input has fewer than the cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
