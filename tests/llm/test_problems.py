@@ -2,12 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.llm import p1_scans, p2_split, p3_private, p3_tagger, p4_lookalikes, p5_pairs, p6_similar, p7_leaks, p8_mixture, p9_reading
+from ferrule.llm import classes, p1_scans, p2_split, p3_private, p3_tagger, p4_lookalikes, p5_pairs, p6_similar, p7_leaks, p8_mixture, p9_reading
 from ferrule.llm.p3_train import Maker, check_character
 from ferrule.llm.queries import QUERIES
 
@@ -142,7 +143,7 @@ def test_p4_forms():
 
 def test_p4_splicing_equals_whole_normalisation():
     r = random.Random(4)
-    pool = "abcé中，ｏ́̈​ Ａо３- \n"
+    pool = "abcé中，ｏ́̈​ Ａо３- \n\u1100\u1161\u11a8\uac00\uac01\u0451\u03ac\u043a\u0653\u0627"
     for _ in range(2000):
         s = "".join(r.choice(pool) for _ in range(r.randint(0, 12)))
         whole = p4_lookalikes._segment(s)
@@ -162,8 +163,19 @@ def test_p4_hot_reading_keeps_every_row(spark):
     hot = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 'abc' when id % 3 = 1 then 'ａbc' else 'abｃ' end as value")
     pairs = p4_lookalikes.equal_readings(p4_lookalikes.lookalike_forms(hot, "id", "value", "f"))
     got = pairs.collect()
-    assert {x for r in got for x in (r.id_a, r.id_b)} == set(range(3000)) and len(got) < 4000
+    assert {x for r in got for x in (r.id_a, r.id_b)} == set(range(3000)) and len(got) < 6100
     assert all(r.id_a % 3 != r.id_b % 3 for r in got)
+    every = p4_lookalikes.readings(p4_lookalikes.lookalike_forms(hot, "id", "value", "f")).collect()
+    assert len(every) == 3000 and all((r.class_id, r.rep, r.copies, r.links) == (0, r.id % 3, 1000, 2000) for r in every)
+
+
+def test_p4_reading_stored_in_many_ways(spark):
+    rows_ = [(i, "a" + chr(0x200B + i % 3) * (i // 3 + 1) + "b") for i in range(60)]
+    forms = p4_lookalikes.lookalike_forms(spark.createDataFrame(rows_, "id long, value string"), "id", "value", "f")
+    assert p4_lookalikes.equal_readings(forms).count() == 60 * 59 // 2
+    star = p4_lookalikes.equal_readings(forms, most=10).collect()
+    assert sorted((r.id_a, r.id_b) for r in star) == [(0, i) for i in range(1, 60)]
+    assert {r.class_id for r in p4_lookalikes.readings(forms).collect()} == {0}
 
 
 # 5
@@ -193,6 +205,11 @@ def test_p5_edges(spark):
 # 6
 
 
+def expanded(pairs, members):
+    one = F.lit("f").alias("field")
+    return classes.expanded(pairs.select(one, "id_a", "id_b"), members.select(one, "id", "rep", "copies"), inside=True)
+
+
 def _near(r, base, edits):
     s = list(base)
     for _ in range(edits):
@@ -211,20 +228,60 @@ def test_p6_against_brute_force(spark):
             texts += [base, _near(r, base, 1), _near(r, base, max(1, n // 6)), _near(r, base, max(1, n // 3)), base.upper()]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("norm", F.lit("clash"))
     pairs, members = p6_similar.near_duplicates(df, "id", "t", "f")
-    got = {(x.id_a, x.id_b) for x in p6_similar.expanded(pairs, members).collect()}
+    got = {(x.id_a, x.id_b) for x in expanded(pairs, members).collect()}
     norm = [re.sub(r"[\W_]+", "", (t or "").lower()) for t in texts]
     sets = [{s[i : i + 3] for i in range(len(s) - 2)} for s in norm]
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
     assert got == want
+    assert {(x.id_a, x.id_b) for x in expanded(*p6_similar.near_duplicates(df, "id", "t", "f", exact=True)).collect()} == want
 
 
 def test_p6_hot_copies_and_empty(spark):
     hot = spark.range(2000).selectExpr("id", "case when id < 1500 then 'the same text again' when id < 1990 then 'the same text again!' else concat('other words ', id * 7919 * id) end as t")
     pairs, members = p6_similar.near_duplicates(hot, "id", "t", "f")
-    got = p6_similar.expanded(pairs, members).collect()
+    got = expanded(pairs, members).collect()
     assert {x for r in got for x in (r.id_a, r.id_b)} >= set(range(1990)) and len(got) < 5000
     pairs, members = p6_similar.near_duplicates(hot.limit(0), "id", "t", "f")
-    assert p6_similar.expanded(pairs, members).count() == 0
+    assert expanded(pairs, members).count() == 0
+
+
+def test_p6_short_texts_meet_in_proportion():
+    """Unrelated short texts, four times as many, share no more than a few signatures."""
+    r = random.Random(1)
+    met = []
+    for n in (5_000, 20_000):
+        texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(10, 20))) for _ in range(n)]
+        (a, _, _), dense = p6_similar.shared_signatures(*p6_similar.signatures(*p6_similar.trigram_sets(texts)))
+        met.append(len(a))
+        assert not dense
+    assert met[1] <= 4 * met[0] + 50
+
+
+def test_p6_hot_signatures_block_by_block():
+    r = np.random.default_rng(2)
+    sig, ids = r.integers(0, 30, 900).astype(np.uint64) << np.uint64(3) | r.integers(0, 8, 900).astype(np.uint64), r.integers(0, 200, 900)
+    add = lambda got, found: got.update({(a, b): n for a, b, n in zip(*(x.tolist() for x in found))})
+    want, got = Counter(), Counter()
+    whole, none = p6_similar.shared_signatures(sig, ids, 10**9)
+    few, dense = p6_similar.shared_signatures(sig, ids, 31)
+    assert not none and dense
+    add(want, whole)
+    add(got, few)
+    for kinds, members in dense:
+        cut = [(kinds[i : i + 10], members[i : i + 10]) for i in range(0, len(members), 10)]
+        for i, x in enumerate(cut):
+            for y in cut[i:]:
+                for part in p6_similar.block_pairs(*x, *y, same=x is y, rows=4):
+                    add(got, part)
+    assert set(got) == set(want)
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 300)]
+    df = spark.createDataFrame([("f", a, b) for a, b in pairs] + [("g", 40, 100)], "field string, id_a long, id_b long")
+    got = {(r.field, r.id): r.group_id for r in classes.components(df).collect()}
+    assert {got["f", i] for i in range(41)} == {0} and got["f", 102] == 100 and got["f", 300] == 200 and got["g", 100] == 40
+    assert classes.components(df.limit(0)).count() == 0
 
 
 # 7
