@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ferrule.runtime import arrow_map, spread
 
 SIZE, OVERLAP, THRESHOLD = 512, 64, 0.42
+BLANK = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # what str.strip takes off
 _SENTENCE = re.compile(r"(?<=[。！？!?；;])\s*|(?<=\.)\s+")
 
 
@@ -20,9 +21,12 @@ def check(size: int, overlap: int) -> None:
 
 
 def fixed(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Array of windows of ``size`` characters every ``size - overlap``; null for null and empty texts."""
+    """Array of windows of ``size`` characters every ``size - overlap`` of the normalised text; null for null
+    and blank texts."""
     check(size, overlap)
     step = size - overlap
+    text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")
+    text = F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), f"^[{BLANK}]+|[{BLANK}]+$", "")
     starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))
     return F.when(F.length(text) > 0, F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))))
 

@@ -23,18 +23,29 @@ def entities(chunks: DataFrame, most: int = TERMS) -> DataFrame:
 
 def edges(found: DataFrame) -> DataFrame:
     """``(source, target, weight)``: pairs of terms of one chunk, source < target, and in how many."""
-    a, b = found.select("chunk_id", F.col("name").alias("source")), found.select("chunk_id", F.col("name").alias("target"))
-    return a.join(b, "chunk_id").filter("source < target").groupBy("source", "target").agg(F.count("*").alias("weight"))
+    names = found.groupBy("chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))  # TERMS at most
+    pairs = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice(F.col("names"), i + 2, F.lit(TERMS)), lambda y: F.struct(x.alias("source"), y.alias("target")))))
+    return names.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("weight"))
 
 
-def recall(seeds: DataFrame, found: DataFrame, hops: int = 2) -> DataFrame:
+def _first(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The first ``most`` rows of each question; partitions cut their own before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(by))
+    return rows.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
+
+
+def recall(seeds: DataFrame, found: DataFrame, hops: int = 2, most: int = 30) -> DataFrame:
     """``(qid, chunk_id, hop)``: chunks that hold a seed term (hop 0), or a term that shares a chunk with
-    one reached before. ``seeds`` is (qid, name); a chunk's first hop counts."""
-    reached = seeds.join(found, "name").select("qid", "chunk_id").distinct().withColumn("hop", F.lit(0))
+    one reached before. ``seeds`` is (qid, name); a chunk's first hop counts.
+
+    A question keeps ``most`` chunks of its seeds, and of each hop ``4 * most`` terms and ``2 * most`` chunks,
+    the first by id or name: the limits of the search, without which a common term would reach everything.
+    """
+    reached = _first(seeds.join(found, "name").select("qid", "chunk_id").distinct(), "chunk_id", most).withColumn("hop", F.lit(0))
     frontier = reached
     for hop in range(1, hops):
-        terms = frontier.join(found, "chunk_id").select("qid", "name").distinct()
+        terms = _first(frontier.join(found, "chunk_id").select("qid", "name").distinct(), "name", 4 * most)
         chunk = terms.join(found, "name").select("qid", "chunk_id").distinct()
-        frontier = chunk.join(reached, ["qid", "chunk_id"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = _first(chunk.join(reached, ["qid", "chunk_id"], "left_anti"), "chunk_id", 2 * most).withColumn("hop", F.lit(hop))
         reached = reached.unionByName(frontier)
     return reached

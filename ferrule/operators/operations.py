@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.runtime import written
+
 
 def backoff(attempt: Column, base: int = 2, most: int = 300) -> Column:
     """Seconds before the next try: base * 2^(attempt - 1), at most ``most``."""
@@ -46,8 +48,14 @@ def peak_concurrency(leases: DataFrame, key: str) -> DataFrame:
     turns = leases.select(key, F.col("start_ts").alias("ts"), F.lit(1).alias("d")).unionAll(leases.select(key, F.col("end_ts").alias("ts"), F.lit(-1).alias("d")))
     # Turns at one time are summed first; then an open count needs one row a time.
     turns = turns.groupBy(key, "ts").agg(F.sum("d").alias("d"))
-    running = F.sum("d").over(Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return turns.withColumn("open", running).groupBy(key).agg(F.max("open").alias("peak"))
+    # A hot key's times are cut into ranges: each range's peak is its own running sum on top of the sums of
+    # the key's ranges before it.
+    ranges = turns.repartitionByRange(key, "ts").select("*", F.spark_partition_id().alias("_part"))
+    ranges = written(ranges, "turns")
+    running = F.sum("d").over(Window.partitionBy(key, "_part").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    own = ranges.withColumn("open", running).groupBy(key, "_part").agg(F.max("open").alias("top"), F.sum("d").alias("sum"))  # few rows a range
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.withColumn("top", F.col("top") + before).groupBy(key).agg(F.max("top").alias("peak"))
 
 
 def over_limit(events: DataFrame, key: str, width: str = "1 minute", limit: int = 20) -> DataFrame:

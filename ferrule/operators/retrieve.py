@@ -16,22 +16,49 @@ from ferrule.functions import text as T
 from ferrule.runtime import arrow_map
 
 CANDIDATES, RRF_K, TOP = 30, 60, 5
+TILE = 128  # of these multiplied with a batch of vectors at once
 QUERY_BLOCK = 20_000  # query vectors sent to the executors at once; more take more passes
 
 
-def visible_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks of the active index version of documents that aren't being deleted. A chunk written twice
-    counts once, the one written last. Chunks without a document are not visible."""
-    live = documents.filter(~F.col("status").isin("deleting", "deleted")).select("document_id", F.col("active_index_version").alias("index_version"), "filename", "tags")
-    newest = Window.partitionBy("document_id", "seq", "index_version").orderBy(F.desc("created_at"), F.desc("chunk_id"))
-    return chunks.join(live, ["document_id", "index_version"]).withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+def visible_chunks(chunks: DataFrame, documents: DataFrame, bases: DataFrame | None = None, members: DataFrame | None = None, user: str | None = None,
+                   kb_id: str | None = None, quarantined: DataFrame | None = None) -> DataFrame:
+    """Chunks of the active index version, in the document's own base, of documents that aren't being
+    deleted nor ``quarantined`` (document_id). With ``members`` (workspace_id, user_id) and ``bases`` (kb_id,
+    workspace_id) only those of workspaces of ``user``; with ``kb_id`` only those of one base. A chunk
+    written twice counts once, the one written last. Chunks without a document are not visible.
 
-
-def with_metadata(chunks: DataFrame, content_types=None, sections=None, since=None, until=None) -> DataFrame:
-    """Chunks that satisfy every filter given; a null value satisfies none."""
-    tests = [F.col("content_type").isin(*content_types) if content_types else None, F.col("section").isin(*sections) if sections else None,
-             F.col("created_at") >= since if since is not None else None, F.col("created_at") < until if until is not None else None]
-    return reduce(DataFrame.filter, [t for t in tests if t is not None], chunks)
+    What decides is narrow: texts are joined by chunk once that is done, and only by whoever reads them.
+    """
+    live = documents.filter(~F.col("status").isin("deleting", "deleted"))
+    if quarantined is not None:
+        live = live.join(quarantined.select("document_id"), "document_id", "left_anti")
+    if kb_id is not None:
+        live = live.filter(F.col("kb_id") == kb_id)
+    if members is not None:
+        own = bases.join(members.filter(F.col("user_id") == user).select("workspace_id"), "workspace_id", "left_semi")
+        live = live.join(own.select("kb_id"), "kb_id", "left_semi")
+    live = live.select("document_id", "kb_id", F.col("active_index_version").alias("index_version"), "filename", "tags")
+    narrow = chunks.select("chunk_id", "document_id", "kb_id", "seq", "index_version", "created_at").join(live, ["document_id", "kb_id", "index_version"])
+    last = F.max(F.struct("created_at", "chunk_id", "filename", "tags")).alias("x")
+    kept = narrow.groupBy("document_id", "seq", "index_version").agg(last).select("x.chunk_id", "x.filename", "x.tags")
+    return chunks.join(kept, "chunk_id")
+
+
+def with_metadata(chunks: DataFrame, content_types=None, sections=None, since=None, until=None, source_types=None, departments=None) -> DataFrame:
+    """Chunks (with their document's columns, where those are asked for) that satisfy every filter given; a
+    null value satisfies none."""
+    one_of = {"content_type": content_types, "section": sections, "source_type": source_types, "department": departments}
+    tests = [F.col(c).isin(*values) for c, values in one_of.items() if values]
+    tests += [F.col("created_at") >= since] if since is not None else []
+    tests += [F.col("created_at") < until] if until is not None else []
+    return reduce(DataFrame.filter, tests, chunks)
+
+
+def in_base(ranked: DataFrame, kb_id: str) -> DataFrame:
+    """Rows of one base, with ``dropped``, the number of others their query had."""
+    there = F.coalesce(F.col("kb_id") == kb_id, F.lit(False))
+    others = F.sum((~there).cast("long")).over(Window.partitionBy("qid"))
+    return ranked.withColumn("dropped", others).filter(there)
 
 
 def with_tags(documents: DataFrame, tags: list[str]) -> DataFrame:
@@ -97,10 +124,21 @@ def vector_route(queries: DataFrame, vectors: DataFrame, most: int = CANDIDATES)
         def nearest(c, sent=sent):
             qids, q = sent.value
             ids = np.asarray(c["chunk_id"])
-            order = np.argsort(ids)
-            scores = np.round(q @ np.asarray(c["embedding"], np.float64).T, 6)[:, order]
-            pick = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-            return {"qid": np.repeat(qids, pick.shape[1]).tolist(), "chunk_id": ids[order][pick].ravel().tolist(), "score": np.take_along_axis(scores, pick, 1).ravel().tolist()}
+            held = np.asarray(c["embedding"], np.float64).T
+            out = {"qid": [], "chunk_id": [], "score": []}
+            for a in range(0, len(q), TILE):
+                scores = np.round(q[a : a + TILE] @ held, 6)
+                k = max(0, scores.shape[1] - most)
+                row, col = np.nonzero(scores >= np.partition(scores, k, axis=1)[:, k : k + 1])  # ties at the border too
+                score = scores[row, col]
+                order = np.lexsort((ids[col], -score, row))
+                row, col, score = row[order], col[order], score[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                keep = place < most
+                out["qid"] += qids[a + row[keep]].tolist()
+                out["chunk_id"] += ids[col[keep]].tolist()
+                out["score"] += score[keep].tolist()
+            return out
 
         kind = queries.schema["qid"].dataType.simpleString()
         part = arrow_map(vectors.select("chunk_id", "embedding"), nearest, f"qid {kind}, chunk_id long, score double")
@@ -117,9 +155,12 @@ def best_of_variants(routes: DataFrame, most: int = CANDIDATES) -> DataFrame:
 
 
 def fuse(routes: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion: ``(qid, chunk_id, score, routes)``, routes being how many found it."""
-    every = reduce(DataFrame.unionByName, [r.select("qid", "chunk_id", "rank", F.lit(name).alias("route")) for name, r in routes.items()])
-    return every.groupBy("qid", "chunk_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 8).alias("score"), F.count("*").alias("routes"))
+    """Reciprocal rank fusion: ``(qid, chunk_id, score, routes, keyword_hit, similarity)``, routes being how
+    many found it, and similarity that of the vector route (0 where it didn't)."""
+    every = reduce(DataFrame.unionByName, [r.select("qid", "chunk_id", "rank", "score" if "score" in r.columns else F.lit(0.0).alias("score"), F.lit(name).alias("route")) for name, r in routes.items()])
+    return every.groupBy("qid", "chunk_id").agg(
+        F.round(F.sum(1.0 / (k + F.col("rank"))), 8).alias("score"), F.count("*").alias("routes"), F.max(F.col("route") == "keyword").alias("keyword_hit"),
+        F.coalesce(F.max(F.when(F.col("route") == "vector", F.col("score").cast("double"))), F.lit(0.0)).alias("similarity"))
 
 
 def top(fused: DataFrame, most: int = TOP) -> DataFrame:

@@ -29,3 +29,9 @@ def quota(bases: DataFrame, documents: DataFrame, limit_bytes: int) -> DataFrame
     size = documents.groupBy("kb_id").agg(F.sum(F.col("size_bytes").cast("long")).alias("bytes"))
     rows = bases.join(size, "kb_id", "left").groupBy("workspace_id").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
     return rows.select("workspace_id", "bytes", (F.col("bytes") > limit_bytes).alias("over"))
+
+
+def departments(bases: DataFrame, documents: DataFrame) -> DataFrame:
+    """The departments with documents in each workspace; pairs of a base are made distinct before the join."""
+    held = documents.select("kb_id", "department").distinct()
+    return bases.select("kb_id", "workspace_id").join(held, "kb_id").select("workspace_id", "department").distinct()

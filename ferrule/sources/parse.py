@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -164,10 +165,29 @@ def json_path(value, path: str):
 
 
 def read_query(spark: SparkSession, sql: str, most: int = 10_000) -> DataFrame:
-    """Rows of a single read-only SELECT over registered views."""
-    if ";" in sql.strip().rstrip(";") or not re.match(r"(?is)\s*(select|with)\b", sql):
+    """Rows of a single read-only SELECT over registered views. The statement is parsed first and refused if
+    any node of its plan writes or is a command; nothing of it runs before."""
+    sql = sql.strip().rstrip(";")
+    if ";" in sql or not re.match(r"(?is)(select|with)\b", sql) or any(_writes(n) for n in _plan_nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))):
         raise ValueError("only one SELECT statement is allowed")
-    return spark.sql(sql.strip().rstrip(";")).limit(most)
+    return spark.sql(sql).limit(most)
+
+
+def _plan_nodes(plan) -> Iterator:
+    """A parsed plan's nodes, those of common table expressions too."""
+    yield plan
+    for group in (plan.children(), plan.innerChildren()):
+        for i in range(group.size()):
+            if ".plans.logical." in group.apply(i).getClass().getName() or ".catalyst.analysis." in group.apply(i).getClass().getName():
+                yield from _plan_nodes(group.apply(i))
+
+
+def _writes(node) -> bool:
+    names, cls = [], node.getClass()
+    while cls is not None:
+        names += [cls.getSimpleName(), *(x.getSimpleName() for x in cls.getInterfaces())]
+        cls = cls.getSuperclass()
+    return any(re.search(r"Command$|^Insert|^ParsedStatement$|^Write|^MergeInto|^DeleteFrom|^UpdateTable", n) for n in names)
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[Column]) -> None:

@@ -10,14 +10,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ferrule.runtime import shared_dir
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files: int = 1) -> DataFrame:
-    """A stream of the parquet files of one name in a folder, with ``ts`` as a timestamp."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name).parquet(folder)
+    """A stream of the table ``name`` in a folder, a folder of part files or a single file, ``files`` of them
+    a micro-batch, with ``ts`` as a timestamp."""
+    path = f"{folder}/{name}"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        stream = stream.parquet(path)
+    else:
+        stream = stream.option("pathGlobFilter", name).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -55,9 +63,12 @@ def latest_state(stream: DataFrame, late: str = "1 day", idle_ms: int = 86_400_0
     return stream.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, last_type string", "n long, last long, kind string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete", seconds: int = 120) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """Run all that is available and return the sink: each micro-batch replaces the table (complete) or
-    adds to it, under its number, so that a repeated batch overwrites itself."""
+    adds to it, under its number, so that a repeated batch overwrites itself. In mode update a row replaces
+    the earlier one of its ``keys``: of each key the last batch counts. The table is empty if nothing came."""
+    if mode == "update" and not keys:
+        raise ValueError("mode update needs the keys that a row replaces")
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{base}/out"
@@ -67,8 +78,16 @@ def run_to_table(stream: DataFrame, mode: str = "complete", seconds: int = 120)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).foreachBatch(sink).start()
     try:
-        if not query.awaitTermination(seconds):
-            raise TimeoutError("the stream did not end in time")
+        query.awaitTermination()
     finally:
         query.stop()
-    return spark.read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(path)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    if mode == "update":
+        others = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("x")).select(*keys, "x.*")
+    return rows.select(*stream.columns)

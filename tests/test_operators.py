@@ -93,8 +93,8 @@ def test_citations(spark, answer, sources, valid):
 
 
 def test_citation_repair():
-    text = "# Head\nThe limit is twelve days [1].\nNo source is given for this line.\nNote:\n```\n```\nBoth are known [1][9]."
-    assert evidence.repair_citations(text, 1) == "# Head\nThe limit is twelve days [1].\nNote:\nBoth are known [1]."
+    text = "# Head\nThe limit is twelve days [1].\nNo source is given for this line.\nNote:\n```\n```\nOnly one is known [1][9]."
+    assert evidence.repair_citations(text, 1) == "# Head\nThe limit is twelve days [1].\nNote:"
     assert evidence.repair_citations(None, 1) == ""
 
 
@@ -201,4 +201,4 @@ def test_query_cleaning(spark):
 def test_memories_rank_lasting_statements_first(spark):
     c = spark.createDataFrame([(1, 0, "报销 流程 是 什么"), (2, 1, "记住 我喜欢 报销 流程 用表格"), (3, 2, "无关")], "message_id int, recency int, text string")
     q = spark.createDataFrame([(1, "报销 流程 表格")], "qid int, question string")
-    assert [r[0] for r in sorted(values(conversation.rank_memories(c, q), "message_id", "rank"), key=lambda r: r[1])] == [2, 1]
+    assert [r[0] for r in sorted(values(conversation.rank_memories(c, q), "message_id", "rank"), key=lambda r: r[1])] == [2, 1, 3]
