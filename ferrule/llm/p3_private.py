@@ -21,9 +21,11 @@ from ferrule.runtime import arrow_map, by_size, spread, table
 from .p3_tagger import Tagger, folded
 from .p3_train import DIGITS_ZH, check_character
 
-_AT = r"(?:\s?@\s?|\s?[\[(（]\s?(?:at|AT)\s?[\])）]\s?|\sAT\s|\sat\s)"
+_AT = r"(?:\s?[\[(（]\s?(?:at|AT)\s?[\])）]\s?|\sAT\s|\sat\s)"
 _DOT = r"(?:\.|\s?[\[(（]\s?(?:dot|DOT)\s?[\])）]\s?|\sDOT\s|\sdot\s)"
-_EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._+%-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}")
+_USER, _HOST = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*", r"[A-Za-z0-9-]+"
+_EMAIL = re.compile(rf"{_USER}\s?@\s?{_HOST}(?:{_DOT}{_HOST})*{_DOT}[A-Za-z]{{2,}}")
+_SPOKEN = re.compile(rf"{_USER}{_AT}{_HOST}(?:{_DOT}{_HOST})*{_DOT}[A-Za-z]{{2,}}")  # without the sign
 _S = r"[-. ]?"
 _PHONE = re.compile(
     rf"(?<![\d*.])(?:(?:\+\s?86|0086|86){_S})?1[3-9]\d{_S}\d{{4}}{_S}\d{{4}}(?![\d*])"
@@ -50,24 +52,29 @@ def valid_id(s: str) -> bool:
     return 1900 <= born.year <= 2100 and check_character(s) == s[17]
 
 
-def _nearest(pattern: re.Pattern, text: str, a: int, b: int) -> tuple[int, int] | None:
-    """The form that overlaps [a, b), if there is one; the one starting closest to a."""
-    best = None
-    for m in pattern.finditer(text, max(0, a - 40), min(len(text), b + 60)):
-        if m.start() < b and m.end() > a and (best is None or abs(m.start() - a) < abs(best[0] - a)):
-            best = m.span()
+SLACK, REACH = 4, 12  # characters by which a span's start and end may be put right
+
+
+def _fit(pattern: re.Pattern, text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The span, if it has the form; else the form whose borders are nearest, if they are near enough."""
+    best, least = None, 99
+    for start in sorted(range(max(0, a - SLACK), min(len(text), a + SLACK + 1)), key=lambda i: abs(i - a)):
+        m = pattern.match(text, start)
+        if m and m.end() > a and abs(m.end() - b) <= REACH and (cost := abs(start - a) + abs(m.end() - b)) < least:
+            best, least = m.span(), cost
     return best
 
 
 def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """The span with exact borders, or null if the form is not valid. ``text`` is in ordinary width."""
+    """The span the tagger found, if its form is valid, else null. Blanks, marks, titles and labels at its
+    borders are left out, and a border inside the form is moved to the form's. ``text`` is in ordinary width."""
     if kind == "email":
-        return _nearest(_EMAIL, text, a, b)
+        return _fit(_EMAIL if "@" in text[a:b] else _SPOKEN, text, a, b)
     if kind == "phone":
-        span = _nearest(_PHONE, text, a, b)
+        span = _fit(_PHONE, text, a, b)
         return span if span and not (_ID.match(text, span[0]) and valid_id(_ID.match(text, span[0]).group())) else None
     if kind == "id_number":
-        span = _nearest(_ID, text, a, b)
+        span = _fit(_ID, text, a, b)
         return span if span and valid_id(text[slice(*span)]) else None
     while a < b and (text[a].isspace() or text[a] in "：:，,。.（(<《"):
         a += 1
@@ -76,6 +83,9 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
             a = m.end()
         while b > a and not text[b - 1].isalnum():
             b -= 1
+        # A word is a name as a whole.
+        while a > 0 and text[a - 1].isascii() and text[a - 1].isalpha() and text[a].isascii():
+            a -= 1
         s = text[a:b]
         if re.search(r"[㐀-鿿]", s):
             return (a, b) if 2 <= len(s) <= 4 and not re.search(r"[A-Za-z\d]", s) else None
@@ -98,12 +108,13 @@ def mentions(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     for i, spans in zip(some, _tagger().tag([texts[i] for i in some])):
         if not spans:
             continue
-        text, end = folded(texts[i]), 0
-        done = sorted({(*s, k) for a, b, k in spans if (s := checked(text, a, b, k))})
-        for a, b, k in done:
-            if a >= end:
-                out[i].append((a, b, k))
-                end = b
+        text = folded(texts[i])
+        done = sorted({(-score, *s, k) for a, b, k, score in spans if (s := checked(text, a, b, k))})
+        kept: list[tuple[int, int, str]] = []
+        for _, a, b, k in done:  # of overlapping ones the better scored
+            if all(b <= x or a >= y for x, y, _ in kept):
+                kept.append((a, b, k))
+        out[i] = sorted(kept)
     return out
 
 

@@ -188,8 +188,8 @@ class Tagger:
             paths[k] = whole[: lengths[col], col]
         return paths
 
-    def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """Spans (start, end, kind) of each text. Windows overlap; each position's scores come from the
+    def tag(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        """Spans (start, end, kind, mean score above outside) of each text. Windows overlap; each position's scores come from the
         window in which it is further from a border, and one path is decoded through the whole text."""
         windows, cuts = [], []
         for t in texts:
@@ -211,7 +211,7 @@ class Tagger:
             place += n + 1
         e = np.concatenate(parts)
         pieces = [(max(0, a - 2), min(len(e), b + 2)) for a, b in self.doubtful(e)]
-        spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        spans: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
         for (a, _), path in zip(pieces, self.viterbi([e[a:b] for a, b in pieces])):
             if not path.any():
                 continue
@@ -220,7 +220,8 @@ class Tagger:
                 k = (tag - 1) // 2 if tag else None
                 if start is not None and (k is None or tag % 2 == 1 or k != kind):
                     owner = int(np.searchsorted(at, a + start, side="right")) - 1
-                    spans[owner].append((a + start - at[owner], a + i - at[owner], KINDS[kind]))
+                    rows = np.arange(a + start, a + i)
+                    spans[owner].append((a + start - at[owner], a + i - at[owner], KINDS[kind], round(float((e[rows, path[start:i]] - e[rows, 0]).mean()), 4)))
                     start = None
                 if tag and start is None:
                     start, kind = i, k

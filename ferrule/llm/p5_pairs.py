@@ -1,19 +1,25 @@
 """Problem 5: broken prompt and response pairs.
 
 Method: a multi-label linear (logistic) classifier over hashed n-grams of the response and features of
-the pair. It is fitted to pairs of the table itself, taken as sound, and to defects made from them:
-responses cut short, replaced by the question, swapped for other languages, refused or emptied. Pairs
-the first fit finds defective leave the sound set before the second fit. A threshold for each label is
-calibrated on made and sound pairs held out from the fit.
+the pair. It is fitted to pairs of a table, taken as sound, and to defects made from them: responses cut
+short, replaced by the question, swapped for other languages, refused or emptied. Pairs the first fit
+finds defective leave the sound set before the second fit. A threshold for each label is calibrated on
+pairs that were held out before any defect was made. ``python -m ferrule.llm.p5_pairs TABLES`` fits the
+model of ``p5_model.npz`` to the golden set of a folder; ``broken_pairs(fit=True)`` fits one to its table.
 """
 
 from __future__ import annotations
 
+import functools
+import io
 import random
 import re
+import sys
 import unicodedata
 import zlib
 from collections import Counter
+from importlib.resources import files
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +34,8 @@ FIT_PAIRS = 3_000  # sound pairs the made ones are drawn from, counted with repe
 EPOCHS = 4
 FOLDS = 4
 COMMON = 0.015
+HELD = 0.15  # share of the pairs that only calibrate
+MODEL = Path(__file__).with_name("p5_model.npz")
 
 # Responses that decline, for the making of refusals. {} is a name.
 REFUSALS_ZH = """抱歉，我无法回答这个问题。|对不起，我不能提供这方面的信息。|很抱歉，我帮不了您。|不好意思，这个问题我回答不了。|该问题超出了我的能力范围。|我没有权限查看这些内容。|根据规定，恕不提供此类内容。|我无法协助处理这个请求。|无可奉告。|暂时不能为您解答，请谅解。|很遗憾，这件事我帮不上忙，请咨询相关部门。|请换一个问题。|这个问题不便回答。|作为助手，我不能谈论{}。|恕我不能透露。|我不被允许讨论这个话题。|抱歉，无法提供帮助。|此类请求我不能处理。|我拒绝回答这个问题。|关于{}，我不方便多说。|您的请求无法完成，请谅解。|这方面的内容我不予置评。|请咨询其他人员，我无从回答。|对不起，这不在我的服务范围内。""".split("|")
@@ -39,6 +47,10 @@ TAILS_ZH = ["，其中", "，由于该", "，以及", "，但不超过", "；若
 TAILS_EN = [" and", " the", " of the", " because the", " such as", ", which", " whi", " to bec", " (", ":", "; how", ",", " at the", " with", " or", " in order to", " if the", " that", "...", " for"]
 LEADS_COPY = ["", "", "", "", "The question is: ", "You asked: ", "Q: ", "您问的是：", "问题是：", "问：", "您想知道"]
 
+# Short answers that are complete, for the making of sound pairs. {} is a number.
+SHORT_ZH = """区域负责人|财务经理|人事部|三个工作日|{}天|是的|不可以|可以|每月{}号|总务科|部门主管|客服中心|电子邮件|第{}会议室|星期一|每年一次|不需要|需要|一年|{}小时内|法务顾问|仓库管理员|项目经理|线上申请|{}元|{}%|王经理|信息安全岗|上午九点|由申请人自己""".split("|")
+SHORT_EN = """The regional lead|The finance manager|Two weeks|{} days|Yes|No|Within {} hours|On the first of the month|The front desk|Once a year|By e-mail|Room {}|Monday morning|Not at all|Only the owner|Human resources|About {} percent|The site office|Ten euros|{} euros|Every quarter|At nine|The team lead|Their supervisor|In the archive|Legal counsel|A signed form|The warehouse keeper|Up to {}|The applicant""".split("|")
+
 _SENTENCE_END = re.compile(r"[。．.！!？?”\"'）)》」]\s*$")
 _VISIBLE = re.compile(r"[\w]")
 _HAN = re.compile(r"[㐀-鿿]")
@@ -166,8 +178,8 @@ def _made(pairs: list[tuple], rng: random.Random) -> list[tuple[tuple, int]]:
             text = rng.choice(LEADS_COPY) + q
             if rng.random() < 0.15:
                 text = f"{q} {q}"
-            if rng.random() < 0.6:
-                text = re.sub(r"[？?]\s*$", rng.choice(["", "?", "？", "。", ".", "!"]), text)
+            if rng.random() < 0.7:
+                text = re.sub(r"[？?]\s*$", rng.choice(["", "", "", "?", "？", "。", ".", "!"]), text)
             if rng.random() < 0.2:
                 text = text.replace(" ", "") if _HAN.search(q) else text.lower()
             out.append(((q, text, rng.random() < 0.75), 3))
@@ -194,6 +206,9 @@ def _sound(pairs: list[tuple], rng: random.Random) -> list[tuple]:
             more = rng.choice(good)[1]
             if bool(_HAN.search(more)) == han and more.rstrip().endswith(("。", ".")):
                 out.append((q, a.rstrip().rstrip("。.") + ("。" if han else ". ") + more, can))
+        if rng.random() < 0.35:
+            short = rng.choice(SHORT_ZH if _HAN.search(q) else SHORT_EN).format(rng.randint(2, 90))
+            out.append((q, short + rng.choice(["", "", "。" if _HAN.search(q) else "."]), True))
         if can and rng.random() < 0.1:
             out.append((q, None, False))
             out.append((q, rng.choice(["资料中没有相关说明。", "没有找到有关内容，无法回答。"] if _HAN.search(q) else ["The files say nothing about this.", "There is no record of it, so it cannot be answered."]), False))
@@ -257,6 +272,25 @@ class PairModel:
             self.cut[label] = grid[best[len(best) // 2]]
         return self
 
+    def save(self, path: Path = MODEL) -> None:
+        cells = np.flatnonzero(np.abs(self.w).max(0) > 0.01)
+        np.savez_compressed(path, cells=cells.astype(np.int32), w=self.w[:, cells].astype(np.float16), cut=self.cut)
+
+    @classmethod
+    def load(cls, path: Path | None = None) -> PairModel:
+        """The fitted model beside this module, also where the package is read from an archive."""
+        held = path.read_bytes() if path else (files(__package__) / MODEL.name).read_bytes()
+        model = cls()
+        with np.load(io.BytesIO(held)) as z:
+            model.w[:, z["cells"]] = z["w"]
+            model.cut = z["cut"]
+        return model
+
+    def figures(self, pairs: list[tuple], y: np.ndarray) -> dict[str, float]:
+        """F1 of each label."""
+        p = self.score(pairs) >= self.cut
+        return {name: round(float(2 * (p[:, k] & (y[:, k] > 0)).sum() / max(1, p[:, k].sum() + (y[:, k] > 0).sum())), 4) for k, name in enumerate(LABELS)}
+
     def decide(self, pairs: list[tuple]) -> list[str | None]:
         """The label furthest over its threshold, if any is."""
         if not pairs:
@@ -298,23 +332,32 @@ def fit_pairs(pairs: list[tuple], seed: int = 5) -> PairModel:
             for (_, s), b in zip(test, bad):
                 votes[s] += 1 if b else -1
             sound += [p for (p, s), b in zip(test, bad) if not (votes[s] > 0 if s in often else b)]
-    x, y = _training(sound or pairs, rng)
-    held = nrng.random(len(x)) < 0.15
-    model = PairModel().fit([p for p, h in zip(x, held) if not h], y[~held], nrng)
-    return model.calibrate([p for p, h in zip(x, held) if h], y[held]) if held.any() else model
+    sound = sound or pairs
+    # Pairs of one question are on one side, and what is made from a pair is on its side.
+    apart = [zlib.crc32(repr(p[0]).encode()) % 1000 < 1000 * HELD for p in sound]
+    model = PairModel().fit(*_training([p for p, h in zip(sound, apart) if not h] or sound, rng), nrng)
+    held = [p for p, h in zip(sound, apart) if h]
+    return model.calibrate(*_training(held, rng)) if held else model
+
+
+@functools.cache
+def _model() -> PairModel:
+    return PairModel.load()
 
 
-def broken_pairs(golden: DataFrame, id_col: str = "id", question: str = "question", answer: str = "reference_answer", answerable: str = "answerable") -> DataFrame:
+def broken_pairs(golden: DataFrame, id_col: str = "id", question: str = "question", answer: str = "reference_answer", answerable: str = "answerable", fit: bool = False) -> DataFrame:
     """``(id, defect)`` of each defective pair. A null ``answerable`` counts as true; a null question
-    is an empty one. Repeated pairs are judged each; an empty table has no defects."""
+    is an empty one. Repeated pairs are judged each; an empty table has no defects. With ``fit`` the model
+    is fitted to at most MAX_FIT of the table's own pairs first."""
     rows = golden.select(F.col(id_col).cast("string").alias("id"), F.col(question).alias("q"), F.col(answer).alias("a"), F.col(answerable).alias("can"))
-    sample = rows.filter("q is not null").orderBy(F.xxhash64("id"), "id").limit(MAX_FIT).select("q", "a", "can").collect()
-    model = fit_pairs([(r.q, r.a, r.can) for r in sample]) if sample else PairModel()
-    sent = golden.sparkSession.sparkContext.broadcast(model)
+    sent = None
+    if fit:
+        sample = rows.filter("q is not null").orderBy(F.xxhash64("id"), "id").limit(MAX_FIT).select("q", "a", "can").collect()
+        sent = golden.sparkSession.sparkContext.broadcast(fit_pairs([(r.q, r.a, r.can) for r in sample]) if sample else PairModel())
 
     def judge(c):
-        found = sent.value.decide(list(zip(c["q"], c["a"], c["can"])))
-        return {"id": c["id"], "defect": found}
+        model = _model() if sent is None else sent.value
+        return {"id": c["id"], "defect": model.decide(list(zip(c["q"], c["a"], c["can"])))}
 
     return arrow_map(spread(rows), judge, "id string, defect string").filter("defect is not null")
 
@@ -324,3 +367,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found}
+
+
+def main(folder: str) -> None:
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{folder}/golden_set.parquet", columns=["id", "question", "reference_answer", "answerable"]).to_pylist()
+    rows = sorted((r for r in rows if r["question"]), key=lambda r: zlib.crc32(r["id"].encode()))[: 2 * MAX_FIT]
+    pairs = [(r["question"], r["reference_answer"], r["answerable"]) for r in rows]
+    model = fit_pairs(pairs)
+    model.save()
+    print(model.cut)
+
+
+if __name__ == "__main__":
+    main(sys.argv[1])
