@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ferrule.runtime import arrow_map, by_size, spread, table
 
 from .p3_tagger import Tagger, folded
-from .p3_train import DIGITS_ZH, check_character
+from .p3_train import DIGITS_ZH, SURNAMES, check_character
 
 _AT = r"(?:\s?[\[(（]\s?(?:at|AT)\s?[\])）]\s?|\sAT\s|\sat\s)"
 _DOT = r"(?:\.|\s?[\[(（]\s?(?:dot|DOT)\s?[\])）]\s?|\sDOT\s|\sdot\s)"
@@ -88,6 +88,12 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
             a -= 1
         s = text[a:b]
         if re.search(r"[㐀-鿿]", s):
+            if a < b and text[a] not in SURNAMES:
+                # The border is one off where a surname stands beside it.
+                a = next((i for i in (a - 1, a + 1) if 0 <= i < b - 1 and text[i] in SURNAMES), a)
+            if text[a] in SURNAMES:
+                b = min(b, a + 3)
+            s = text[a:b]
             return (a, b) if 2 <= len(s) <= 4 and not re.search(r"[A-Za-z\d]", s) else None
         return (a, b) if len(s) >= 3 and s[0].isupper() and not re.search(r"\d", s) else None
     # An address begins at a word's or number's start and holds a number.

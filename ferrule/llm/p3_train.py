@@ -72,7 +72,7 @@ MORE = {
         "请到{x}面谈。|公司已迁至{x}。|回寄地址：{x}（到付拒收）。|现场位于{x}，进场要登记。|送货到{x}，电梯可用。|我住{x}。|发票寄{x}。|通讯地址 {x}|门牌为{x}，左手边。|事故发生在{x}门口。",
         "Please come to {x} for the interview.|We have moved to {x}.|Return address: {x}|Pick it up at {x}.|The site, {x}, is closed.|I live at {x}.|Invoices go to {x}.|mail it to {x} by Friday|The office at {x} opens at nine.|It happened outside {x}."),
     "name": (
-        "今天由{x}值班。|感谢{x}的配合。|{x}说明天再来。|项目交给{x}负责。|我叫{x}。|已通知{x}本人。|{x}和同事一起到的。|经理{x}批准了。|请转告{x}。|申请人：{x}，已签字。|{x}（销售部）请假。|乘客{x}未登机。|是{x}发现的问题。",
+        "今天由{x}值班。|感谢{x}的配合。|{x}说明天再来。|项目交给{x}负责。|我叫{x}。|已通知{x}本人。|{x}和同事一起到的。|经理{x}批准了。|请转告{x}。|申请人：{x}，已签字。|{x}（销售部）请假。|乘客{x}未登机。|是{x}发现的问题。|{x}上周调到了财务部。|新来的{x}还没有工牌。|这件事问{x}就行。|{x}的合同下月到期。|会上{x}提了三点意见。|{x}把样品带走了。|我和{x}一起去。|{x}，男，三十岁。|由{x}代为领取。|{x}同志请到前台。|报案人{x}称钥匙丢失。|请假人{x}，事由探亲。|{x}主任不同意。|昨天{x}打来电话。|{x}今天没有来。|给{x}发一份。|{x}负责排班。|{x}刚刚离开。|仓库交给{x}。|表扬{x}等三人。|{x}每天六点到。|找不到{x}。|{x}在现场。|让{x}先走。|值班：{x}。|主讲人{x}。|{x}写的报告很长。|车是{x}开的。|据说{x}要退休。|{x}笑着说没事。|{x}工程师验收。|护士{x}量了体温。|房东{x}涨了租金。|感谢同事{x}帮忙。|欢迎{x}加入。|祝贺{x}升职。|单号由{x}登记|{x}收|本人{x}，特此声明。|收货人为{x}，请当面点清。|委托{x}办理此事。|{x}反馈说屏幕不亮。|听{x}讲，机器坏了。|{x}已到岗。|经{x}确认无误。|签名：{x}|{x}、{x}",
         "My name is {x}.|{x} will cover the night shift.|Thanks to {x} for the help.|We met {x} at the fair.|Please tell {x} that it is ready.|The report by {x} is late.|{x} and a colleague arrived.|Approved by {x}.|{x} from the sales team is away.|Passenger {x} did not board.|I am {x}, the new tenant.|It was {x} who noticed.|Regards, {x}"),
 }
 # Never trained on: the held-out test's sentences.
@@ -203,8 +203,13 @@ class Maker:
         mention = getattr(self, kind)(han)
         if r.random() < 0.12 and kind != "name":
             mention = "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in mention)
-        before, after = r.choice(self.frames[kind][0 if han else 1]).split("{x}")
-        if self.background and r.random() < (0.35 if kind == "name" else 0.15):
+        before, after, *more = r.choice(self.frames[kind][0 if han else 1]).split("{x}")
+        if more:  # two of a kind
+            other = getattr(self, kind)(han)
+            a, b = len(before), len(before) + len(mention)
+            at = b + len(after)
+            return before + mention + after + other + more[0], [(a, b, kind), (at, at + len(other), kind)], han
+        if self.background and r.random() < (0.06 if kind == "name" else 0.15):
             # No frame: the mention stands between two stretches of other text.
             cut = lambda t: t[: r.randrange(len(t) + 1)] if han else " ".join(t.split()[: r.randint(0, 8)])
             one, two = (cut(r.choice(self.background[han])) for _ in "ab")
