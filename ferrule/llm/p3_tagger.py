@@ -188,6 +188,19 @@ class Tagger:
             paths[k] = whole[: lengths[col], col]
         return paths
 
+    def paths(self, parts: list[np.ndarray], most: int = 300_000) -> list[np.ndarray]:
+        """``viterbi`` of parts of like length together, so that one long part isn't the measure of all:
+        ``most`` padded positions at once, or a single part."""
+        order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
+        out: list = [None] * len(parts)
+        at = 0
+        while at < len(order):
+            some = order[at : at + max(1, most // max(1, len(parts[order[at]])))]
+            for k, path in zip(some, self.viterbi([parts[k] for k in some])):
+                out[k] = path
+            at += len(some)
+        return out
+
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
         """Spans (start, end, kind, mean score above outside) of each text. Windows overlap; each position's scores come from the
         window in which it is further from a border, and one path is decoded through the whole text."""
@@ -212,7 +225,7 @@ class Tagger:
         e = np.concatenate(parts)
         pieces = [(max(0, a - 2), min(len(e), b + 2)) for a, b in self.doubtful(e)]
         spans: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-        for (a, _), path in zip(pieces, self.viterbi([e[a:b] for a, b in pieces])):
+        for (a, _), path in zip(pieces, self.paths([e[a:b] for a, b in pieces])):
             if not path.any():
                 continue
             start, kind = None, None
