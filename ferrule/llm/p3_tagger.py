@@ -132,22 +132,21 @@ class Tagger:
         """Stretches of the scores ``e`` that may hold a span; it is certain that the best path is
         outside everywhere else.
 
-        A run of other tags gains at most the sum, over its positions, of the best other score less the
-        outside one and of the best transition within a run, and once the best way in and out. The
-        largest such sum of a run that ends at a position comes from prefix sums and their minimum.
+        A run of other tags gains at most: at its first position the best other score with the transition
+        from outside, at further ones the best with a transition within a run, and once the best way out,
+        each less the outside one. Sums over a run come from prefix sums, and the earliest start with which a
+        run that ends at a position can gain from a running maximum, so no run that could is left out.
         """
-        trans = self.p["trans"]
-        rest = float(trans[0, 0])
-        stay = float(trans[1:, 1:].max()) - rest
-        turn = float(trans[0, 1:].max() + trans[1:, 0].max()) - 2 * rest - stay
-        best = e[:, 1:].max(1) - e[:, 0] + stay
-        total = np.concatenate([[0.0], np.cumsum(best, dtype=np.float64)])
-        low = np.minimum.accumulate(total[:-1])
-        ends = np.flatnonzero(total[1:] - low + turn > 0)
+        trans = self.p["trans"].astype(np.float64)
+        rest = trans[0, 0]
+        first = (e[:, 1:] + (trans[0, 1:] - rest)).max(1) - e[:, 0]
+        total = np.cumsum((e[:, 1:] + (trans[1:, 1:].max(0) - rest)).max(1) - e[:, 0])
+        lead = np.maximum.accumulate(first - total)
+        least = -(total + trans[1:, 0].max() - rest)
+        ends = np.flatnonzero(lead > least)
         if not len(ends):
             return []
-        place = np.maximum.accumulate(np.where(np.concatenate([[True], total[1:-1] <= low[:-1]]), np.arange(len(low)), 0))
-        starts = place[ends]
+        starts = np.searchsorted(lead, least[ends], side="right")
         out: list[list[int]] = []
         for a, b in zip(starts.tolist(), ends.tolist()):
             if out and a <= out[-1][1] + 3:
