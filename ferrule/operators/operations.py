@@ -98,3 +98,23 @@ def usage_overview(events: DataFrame, value: str) -> DataFrame:
 def usage_daily(events: DataFrame, value: str) -> DataFrame:
     """Requests, users and total by day; days without requests are not filled in."""
     return events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("requests"), F.count_distinct("user_id").alias("users"), F.sum(F.col(value).cast("decimal(18,4)")).cast("double").alias("total"))
+
+
+def histogram_quantile(buckets: DataFrame, share: float) -> DataFrame:
+    """The quantile that cumulative buckets (upper, n) tell, linear within its bucket as monitoring systems have
+    it; in the open bucket it is the last bound."""
+    w = Window.orderBy("upper")  # one row a bound
+    rows = buckets.withColumn("low", F.coalesce(F.lag("upper").over(w), F.lit(0.0))).withColumn("below", F.coalesce(F.lag("n").over(w), F.lit(0)))
+    total = buckets.agg(F.max("n")).scalar()
+    rows = rows.withColumn("want", total * share).filter((F.col("n") >= F.col("want")) & (F.col("n") > 0))
+    inside = F.col("low") + (F.col("upper") - F.col("low")) * (F.col("want") - F.col("below")) / (F.col("n") - F.col("below"))
+    return rows.orderBy("upper").limit(1).select(F.round(F.when(F.col("upper") == float("inf"), F.col("low")).otherwise(inside), 6).alias("value"))
+
+
+def increase(samples: DataFrame, key: str, width: str = "1 hour") -> DataFrame:
+    """``(window_start, key, increase)`` of a counter's samples (ts, value): the sum of its rises, where a fall
+    is a restart from zero. A sample's rise counts in its own window."""
+    before = F.lag("value").over(Window.partitionBy(key).orderBy("ts", "value"))
+    rise = F.when(before.isNull(), 0.0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
+    rows = samples.withColumn("rise", rise).groupBy(F.window("ts", width).alias("w"), key).agg(F.sum(F.col("rise").cast("decimal(18,4)")).cast("double").alias("increase"))
+    return rows.select(F.col("w.start").alias("window_start"), key, "increase")

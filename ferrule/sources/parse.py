@@ -11,7 +11,9 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.functions.clean import clean_text
 from ferrule.runtime import arrow_map, spread
+from ferrule.sources import office
 
 DEFAULT_SECTION, WEB_SECTION, MAX_ROWS = "正文", "网页正文", 20_000
 _DROPPED = {"script", "style", "noscript", "nav", "footer", "aside", "form"}
@@ -20,7 +22,7 @@ _DROPPED = {"script", "style", "noscript", "nav", "footer", "aside", "form"}
 def markdown_sections(text: Column) -> Column:
     """Array of (section, body): a heading starts a section; what stands before the first one belongs to
     the default section; sections without a body are left out."""
-    marked = F.regexp_replace(text, r"(?m)^#{1,6}[ \t]+(.+)$", "\u0001$1\u0002")
+    marked = F.regexp_replace(text, r"(?m)^[ \t]*#{1,6}[ \t]+(.+)$", "\u0001$1\u0002")
     parts = F.split(F.concat(F.lit(DEFAULT_SECTION + "\u0002"), marked), "\u0001")
     pairs = F.transform(parts, lambda p: F.struct(F.trim(F.split_part(p, F.lit("\u0002"), F.lit(1))).alias("section"), F.regexp_replace(F.split_part(p, F.lit("\u0002"), F.lit(2)), r"^\s+|\s+$", "").alias("body")))
     return F.filter(pairs, lambda x: x["body"] != "")
@@ -117,7 +119,7 @@ def parse_bytes(path: str, raw: bytes) -> list[tuple[str, str]]:
     if suffix in ("md", "markdown"):
         out, section, body = [], DEFAULT_SECTION, []
         for line in [*text.splitlines(), None]:
-            h = re.match(r"#{1,6}\s+(.+)$", line) if line is not None else None
+            h = re.match(r"#{1,6}\s+(.+)$", line.strip()) if line is not None else None
             if line is None or h:
                 if "\n".join(body).strip():
                     out.append((section, "\n".join(body).strip()))
@@ -132,24 +134,43 @@ def parse_bytes(path: str, raw: bytes) -> list[tuple[str, str]]:
     raise ValueError(f"unsupported suffix {suffix!r}")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, seq, section, text, error)`` of all files under a path; a file that can't be parsed gives
-    one row with its error, so that one bad file doesn't end the job."""
+def segments(path: str, raw: bytes) -> list[tuple[str, str, str]]:
+    """``(section, text, content_type)`` of one file, cleaned; blank ones are left out."""
+    suffix = path.rsplit(".", 1)[-1].lower() if "." in path else ""
+    if suffix == "docx":
+        found = office.docx_segments(raw, DEFAULT_SECTION, markdown_table)
+    elif suffix == "xlsx":
+        found = office.xlsx_segments(raw, markdown_table, MAX_ROWS)
+    else:
+        found = [(section, text, "table" if suffix == "csv" else "text") for section, text in parse_bytes(path, raw)]
+    return [(section, t, kind) for section, text, kind in found if (t := clean_text(text, deduplicate=kind == "text"))]
+
+
+def read_files(spark: SparkSession, path: str, source_url: str | None = None) -> DataFrame:
+    """``(path, seq, section, text, content_type, page, source_url, error)`` of all files under a path; a file that
+    can't be parsed gives one row with its error, so that one bad file doesn't end the job. None of the formats
+    read here has pages, so ``page`` is null."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(c):
-        out = {k: [] for k in ("path", "seq", "section", "text", "error")}
+        out = {k: [] for k in ("path", "seq", "section", "text", "content_type", "error")}
         for p, raw in zip(c["path"], c["content"]):
             try:
-                rows, error = parse_bytes(p, raw), None
+                rows, error = segments(p, raw), None
             except ValueError as e:
-                rows, error = [(None, None)], str(e)
-            for n, (section, text) in enumerate(rows):
-                for k, v in zip(out, (p, n, section, text, error)):
+                rows, error = [(None, None, None)], str(e)
+            for n, row in enumerate(rows):
+                for k, v in zip(out, (p, n, *row, error)):
                     out[k].append(v)
         return out
 
-    return arrow_map(spread(files), run, "path string, seq int, section string, text string, error string")
+    rows = arrow_map(spread(files), run, "path string, seq int, section string, text string, content_type string, error string")
+    return rows.select("path", "seq", "section", "text", "content_type", F.lit(None).cast("int").alias("page"), F.lit(source_url).cast("string").alias("source_url"), "error")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One object a line; blank lines are passed over, and a broken one is a row of nulls."""
+    return spark.read.schema(schema).json(path)
 
 
 def json_path(value, path: str):
