@@ -76,14 +76,24 @@ def clean_query(text: Column, terms: dict[str, str] | None = None) -> Column:
     return s
 
 
+# What is masked in stored texts, and in what a model is reminded of, and how.
+REDACTED = (
+    (r"(?<![0-9])(1[3-9][0-9])[0-9]{4}([0-9]{4})(?![0-9])", "$1****$2"),
+    (r"(?<![0-9])([0-9]{6})[0-9]{8}([0-9]{3}[0-9Xx])(?![0-9])", "$1********$2"),
+    (r"(?i)(?<![A-Z0-9._%+-])([A-Z0-9._%+-]{1,2})[A-Z0-9._%+-]{0,62}@([A-Z0-9.-]+[.][A-Z]{2,})", "$1***@$2"),
+    (r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*[^\s,;]+", "$1=***"),
+)
+HIDDEN = (
+    (r"(?i)(api[_ -]?key|access[_ -]?token|secret|password|密码)\s*[:：=]\s*\S+", "$1：[已隐藏]"),
+    (r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "[手机号已隐藏]"),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[邮箱已隐藏]"),
+    (r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])", "[身份证号已隐藏]"),
+)
+
+
 def redact(text: Column) -> Column:
     """Mobile numbers, 18-digit identity numbers, e-mail addresses and secrets, partly masked."""
-    for pattern, to in (
-        (r"(?<![0-9])(1[3-9][0-9])[0-9]{4}([0-9]{4})(?![0-9])", "$1****$2"),
-        (r"(?<![0-9])([0-9]{6})[0-9]{8}([0-9]{3}[0-9Xx])(?![0-9])", "$1********$2"),
-        (r"(?i)(?<![A-Z0-9._%+-])([A-Z0-9._%+-]{1,2})[A-Z0-9._%+-]{0,62}@([A-Z0-9.-]+[.][A-Z]{2,})", "$1***@$2"),
-        (r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*[^\s,;]+", "$1=***"),
-    ):
+    for pattern, to in REDACTED:
         text = F.regexp_replace(text, pattern, to)
     return text
 
@@ -99,12 +109,7 @@ def redact_map(values: Column) -> Column:
 
 def for_prompt(text: Column, most: int = 600) -> Column:
     """A remembered statement without secrets, numbers of persons and addresses, on one line, cut to ``most``."""
-    for pattern, to in (
-        (r"(?i)(api[_ -]?key|access[_ -]?token|secret|password|密码)\s*[:：=]\s*\S+", "$1：[已隐藏]"),
-        (r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "[手机号已隐藏]"),
-        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[邮箱已隐藏]"),
-        (r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])", "[身份证号已隐藏]"),
-    ):
+    for pattern, to in HIDDEN:
         text = F.regexp_replace(text, pattern, to)
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
 

@@ -27,8 +27,9 @@ def fixed(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     step = size - overlap
     text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")
     text = F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), f"^[{BLANK}]+|[{BLANK}]+$", "")
-    starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))
-    return F.when(F.length(text) > 0, F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))))
+    # The normalised text is bound once, as a lambda's argument; each window would make it anew.
+    windows = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), F.length(t) - 1, F.lit(step)), lambda s: F.substring(t, s + 1, F.lit(size))))
+    return F.element_at(F.transform(F.array(text), windows), 1)
 
 
 def normalize(text: str) -> str:
@@ -41,23 +42,16 @@ def _slices(text: str, size: int, overlap: int) -> list[str]:
 
 
 def merge(units: list[str], size: int, overlap: int) -> list[str]:
-    """Join units with line breaks while they fit; a new chunk begins with the last one's end."""
-    done: list[str] = []
-    current = ""
+    """Units joined with line breaks while they fit. What doesn't fit begins a chunk, led by the end of the one
+    before; where that makes it too long, the unit alone is cut into windows."""
+    out: list[str] = []
     for unit in units:
-        if current and len(current) + 1 + len(unit) <= size:
-            current += "\n" + unit
+        if out and len(out[-1]) < size - len(unit):
+            out[-1] = f"{out[-1]}\n{unit}"
             continue
-        if current:
-            done.append(current)
-            tail = current[-overlap:] if overlap else ""
-            current = f"{tail}\n{unit}" if tail else unit
-        else:
-            current = unit
-        if len(current) > size:
-            *whole, current = _slices(unit, size, overlap)
-            done += whole
-    return [*done, current] if current else done
+        lead = f"{out[-1][-overlap:]}\n" if out and overlap else ""
+        out += [lead + unit] if len(lead) + len(unit) <= size else _slices(unit, size, overlap)
+    return out
 
 
 def _long(paragraph: str, size: int) -> list[str]:
