@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ferrule.runtime import arrow_map, spread
 
 SIZE, OVERLAP, THRESHOLD = 512, 64, 0.42
-BLANK = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # what str.strip takes off
+BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())  # what str.strip takes off
 _SENTENCE = re.compile(r"(?<=[。！？!?；;])\s*|(?<=\.)\s+")
 
 
@@ -26,7 +26,7 @@ def fixed(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     check(size, overlap)
     step = size - overlap
     text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")
-    text = F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), f"^[{BLANK}]+|[{BLANK}]+$", "")
+    text = F.btrim(F.regexp_replace(text, "\n{3,}", "\n\n"), F.lit(BLANK))
     # The normalised text is bound once, as a lambda's argument; each window would make it anew.
     windows = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), F.length(t) - 1, F.lit(step)), lambda s: F.substring(t, s + 1, F.lit(size))))
     return F.element_at(F.transform(F.array(text), windows), 1)
