@@ -183,7 +183,7 @@ def _scan(indexes: list[ItemIndex], ids: list[int], texts: list[str | None], par
                 text, i = plain[at + d], pos - int(starts[d])
                 item, j = index.texts[index.owner[k]], int(index.place[k])
                 key = (at + d, int(index.owner[k]))
-                if key in whole:
+                if i >= len(text) or key in whole:  # a window that begins behind the text
                     continue
                 run, same = common_run(text, i, item, j), 1.0
                 if run < WINDOW:
