@@ -1,5 +1,7 @@
 """Streams over several files and micro-batches, guarded queries, memories, citations, routes, ranges."""
 
+import random
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -65,6 +67,41 @@ def test_lasting_statements_come_without_a_shared_token(spark):
     assert conversation.rank_memories(found.limit(0), asked).count() == conversation.rank_memories(found, asked.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("budget", [40, 1_800, 1 << 40])
+def test_memories_without_pairs(spark, budget):
+    """Every message shares a token with every question; what leaves the tasks doesn't grow with the pairs."""
+    r = random.Random(4)
+    words = "always use the 报销流程 report budget 仓库盘点 depot list port 审批".split()
+    say = lambda n: " ".join(["common", *(r.choice(words) for _ in range(n))])
+    texts = [say(r.choice((1, 2, 3, 5, 9, 90))) for _ in range(3_000)]
+    found = spark.createDataFrame(list(enumerate(texts)), "recency int, text string").select(F.col("recency").alias("message_id"), "recency", "text").repartition(3)
+    said = [say(4), say(2), "remember me " + say(3), texts[0], texts[0]]
+    result = conversation.rank_memories(found, spark.createDataFrame(list(enumerate(said)), "qid int, question string"), budget=budget)
+    assert "explode" not in result._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for x in sorted(result.collect(), key=lambda x: (x.qid, x["rank"])):
+        got.setdefault(x.qid, []).append((x.message_id, x.score))
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t.strip()[:600].lower(), i)
+    for q, question in enumerate(said):
+        rows = []
+        for key, i in first.items():
+            lasting = any(s in key for s in conversation.LASTING)
+            shared = len(conversation.python_tokens(key) & conversation.python_tokens(question.lower()))
+            if key != question.lower():
+                rows.append((-round(5 * shared + 4 * lasting + (1 - i / 3_000) + 3 * (lasting and "remember me" in question), 6), i, len(key) + 3))
+        want, used = [], 0
+        for score, i, size in sorted(rows):
+            if len(want) < 6 and not (want and used + size > budget):
+                want.append((i, pytest.approx(-score)))
+                used += size
+        assert got[q] == want
+    held = spark.createDataFrame([(i, t, 0.5, False, i) for i, t in enumerate(texts)], "message_id int, text string, base double, lasting boolean, recency int").repartition(3)
+    rows = conversation.reminded(held, [(q, x, False, ["common"]) for q, x in enumerate(said)], 6, False).groupBy("num").count().collect()
+    assert len(rows) == len(said) and all(x["count"] <= 3 * 7 for x in rows)
+
+
 def test_recency_over_ranges(spark):
     rows = spark.range(500).selectExpr("id as message_id", "'t' as text", "timestamp_seconds(id % 7) as at")
     got = {r.message_id: r.recency for r in conversation.by_recency(rows, "at").collect()}
