@@ -241,14 +241,12 @@ class Vocabulary:
     """Counts of words (lower case, or as written if capitalised), of pairs of neighbouring words,
     hyphenated forms and Chinese characters, bigrams and trigrams, with tries for the automaton.
 
-    ``parts`` are counts of the letter trigrams of capitalised words. What a page needs beyond the
-    broadcast entries comes with the page (``learn``).
+    ``parts`` are counts of the letter trigrams of capitalised words.
     """
 
     def __init__(self, counts: dict[str, int], parts: dict[str, int] | None = None):
         self.counts = counts
-        self.extra: dict[str, int] = {}  # counts of entries met with the pages
-        self.near: dict[str, list[str]] = {}  # of those the ones near a word, and the characters that fill a window's gap
+        self.missing: set[str] = set()
         self.words = Trie(u for u in counts if len(u) > 1 and u.isascii() and u.isalpha())
         han = [u for u in counts if len(u) > 1 and u[0] > "\u2e80"]
         self.forward, self.backward = Trie(han), Trie(u[::-1] for u in han)  # from the end for a first character in doubt
@@ -268,26 +266,16 @@ class Vocabulary:
         self.known_han = set(single)
         self.clear = clear_misreadings(counts)
 
-    def learn(self, entries: list | None) -> None:
-        """Take in ``(unit, n, near)`` of a page: a unit's count, and entries near it with theirs."""
-        if len(self.extra) + len(self.near) > 500_000:
-            self.extra.clear()
-            self.near.clear()
-            self.met.clear()
-            self.seen.clear()
-        for unit, n, near in ((e["unit"], e["n"], e["near"]) for e in entries or ()):
-            if n:
-                self.extra[unit] = n
-            if near:
-                self.near[unit] = [x["unit"] for x in near]
-                self.extra.update((x["unit"], x["n"]) for x in near)
-
     def count(self, unit: str) -> int:
-        return self.counts.get(unit) or self.extra.get(unit, 0)
+        return self.counts.get(unit, 0)
+
+    def nearby(self, key: str) -> list[str]:
+        """The entries near ``key`` that aren't in the tries."""
+        return []
 
     def within(self, read: str, budget: int, other: int = 2) -> list[str]:
         """Every entry, those that came with the pages too, whose cost to be read so is in the budget."""
-        more = [u for u in self.near.get(read, ()) if u not in self.counts and edit_cost(u, read, other) <= budget]
+        more = [u for u in self.nearby(read) if u not in self.counts and edit_cost(u, read, other) <= budget]
         return [u for u in automaton(self.words, read, budget, other) if u != read] + more
 
     def within_han(self, window: str, at: int) -> list[str]:
@@ -301,11 +289,12 @@ class Vocabulary:
             rest = window[at + 1 :]
             out = [c for c, child in self.forward.children(self.forward.under(window[:at])).items() if (self.forward.ends(child) if not rest else window[:at] + c + rest in self.counts)]
         gap = f"{window[:at]}?{window[at + 1 :]}"
-        out += [u[at] for u in self.near.get(gap, ()) if u not in self.counts]
-        out = [c for c in out if c != window[at]]
+        more = [u[at] for u in self.nearby(gap) if u not in self.counts]
+        out = [c for c in (sorted({*out, *more}) if more else out) if c != window[at]]
         if len(self.met) >= 200_000:
             self.met.clear()
-        self.met[window, at] = out
+        if gap not in self.missing:
+            self.met[window, at] = out
         return out
 
     def candidates(self, key: str, free: bool) -> list[tuple[str, int, int]]:
@@ -318,7 +307,8 @@ class Vocabulary:
             known = [(u, self.count(u), edit_cost(u, key, other)) for u in self.within(key, budget, other)]
             if len(self.seen) >= 500_000:
                 self.seen.clear()
-            self.seen[key, free] = known
+            if key not in self.missing:
+                self.seen[key, free] = known
         return known
 
     def context(self, entry: str, before: str, after: str) -> int:
@@ -346,7 +336,7 @@ class Vocabulary:
             best = self.freely(w, before, after)
         if best is not None and w[0].isupper():
             best = best.capitalize() if not w.isupper() else best.upper()
-        if best is None and own == 0 and w[0].isupper() and not w.isupper() and w.lower() not in self.counts:
+        if best is None and own == 0 and w[0].isupper() and not w.isupper() and not self.count(w.lower()):
             best = self.name(w)
         return best
 
@@ -441,6 +431,47 @@ class Vocabulary:
         return re.compile(f"[{re.escape(chars)}]")
 
 
+class PagedVocabulary(Vocabulary):
+    """A vocabulary of which what a page needs beyond the broadcast entries comes with the page (``learn``):
+    ``asked`` are the units that it came for, ``missing`` those looked up besides, without which the page isn't done."""
+
+    def __init__(self, counts: dict[str, int], parts: dict[str, int] | None = None):
+        super().__init__(counts, parts)
+        self.extra: dict[str, int] = {}  # counts of entries met with the pages
+        self.near: dict[str, list[str]] = {}  # of those the ones near a word, and the characters that fill a window's gap
+        self.asked: set[str] = set()
+
+    def learn(self, entries: list | None, asked: set[str]) -> None:
+        """Take in ``(unit, n, near)`` of a page, all that is known of the units ``asked``: a unit's count, and
+        entries near it with theirs."""
+        self.asked, self.missing = asked, set()
+        if len(self.extra) + len(self.near) > 500_000:
+            self.extra.clear()
+            self.near.clear()
+            self.met.clear()
+            self.seen.clear()
+        for unit, n, near in ((e["unit"], e["n"], e["near"]) for e in entries or ()):
+            if n:
+                self.extra[unit] = n
+            if near:
+                self.near[unit] = [x["unit"] for x in near]
+                self.extra.update((x["unit"], x["n"]) for x in near)
+
+    def count(self, unit: str) -> int:
+        n = self.counts.get(unit) or self.extra.get(unit, 0)
+        if not n and unit not in self.asked:
+            self.missing.add(unit)
+        return n
+
+    def nearby(self, key: str) -> list[str]:
+        """Of the entries not sent to all those near ``key``. A word that was sent is more frequent than all of
+        them, so that none can stand for it."""
+        found = self.near.get(key)
+        if found is None and key not in self.counts and key not in self.asked:
+            self.missing.add(key)
+        return found or []
+
+
 def clear_misreadings(counts: dict[str, int]) -> dict[str, str]:
     """Characters that stand for others far more often than for themselves."""
     return {c: m for c, m in HAN.items() if 4 * counts.get(c, 0) < counts.get(m, 0)}
@@ -514,7 +545,7 @@ def join_lines(lines: list[str], vocab: Vocabulary, head: str | None, tail: str
             elif last and broken(last.group(), start, vocab, following is None):
                 hyphen = True
                 current = current[:-1] + ("\1" if following is not None else start)
-            elif current[-1] == "-" and (start[:1].isdigit() or last and f"{last.group().lower()}{start.lower()}" in vocab.counts):
+            elif current[-1] == "-" and (start[:1].isdigit() or last and vocab.count(f"{last.group().lower()}{start.lower()}")):
                 current += "\1"
         elif following is not None and s[-1] in _END and len(line) < 0.7 * width:
             paragraphs.append(current)
@@ -540,14 +571,14 @@ def broken(part: str, rest: str, vocab: Vocabulary, open_end: bool = False) -> b
         return False
     if stem.isupper() and len(stem) > 1:
         return False
-    suspended = vocab.counts.get(stem.lower() + "-", 0)
+    suspended = vocab.count(stem.lower() + "-")
     if not rest:
         return open_end and not suspended
     whole = (stem + rest).lower()
-    if rest in ("and", "or", "to") and (suspended or not vocab.counts.get(whole)):
+    if rest in ("and", "or", "to") and (suspended or not vocab.count(whole)):
         return False
-    joined = max(vocab.counts.get(whole, 0), vocab.counts.get(stem + rest, 0))
-    hyphened = vocab.counts.get(f"{stem}-{rest}".lower(), 0)
+    joined = max(vocab.count(whole), vocab.count(stem + rest))
+    hyphened = vocab.count(f"{stem}-{rest}".lower())
     if joined or hyphened:
         return joined >= hyphened
     fixed = vocab.word(whole)
@@ -666,66 +697,87 @@ def split_units(units: DataFrame, most: int) -> tuple[dict[str, int], DataFrame
     return {r.unit: r.n for r in kept.filter(sent).toLocalIterator()}, None if cut == MIN_COUNT else kept.filter(~sent)
 
 
-def deletions(w: str) -> list[str]:
-    """Keys shared by any two words one edit of ``automaton`` apart."""
-    return [w, "~" + fold_word(w), *(w[:i] + w[i + 1 :] for i in range(len(w)))]
+@functools.cache
+def skeleton() -> dict[int, str]:
+    """Of each small letter and digit what it and all that it is misread as or for have in common."""
+    same = {c: c for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
+    for read, meant in LATIN.items():
+        for m in meant:
+            if len(read) == len(m) == 1:
+                a, b = same[read.lower()], same[m.lower()]
+                same = {c: min(a, b) if x in (a, b) else x for c, x in same.items()}
+    wide = dict(FOLDED)
+    return {ord(c): "".join(same[x] for x in wide.get(c, c)) for c in same}
 
 
-def fold_word(w: str) -> str:
-    for a, b in FOLDED:
-        w = w.replace(a, b)
-    return w
+def deletions(w: str, two: bool = False) -> set[str]:
+    """Keys shared by any two words of which one is read as the other by misreadings and one free edit, or
+    ``two``: each of these edits leaves out at most one letter on either side, and the rest has one skeleton."""
+    rest = {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+    if two:
+        rest |= {x[:i] + x[i + 1 :] for x in rest if len(x) < len(w) for i in range(len(x))}
+    return {x.translate(skeleton()) for x in rest}
 
 
 def gaps(window: str) -> list[str]:
     return [f"{window[:i]}?{window[i + 1 :]}" for i in range(len(window))]
 
 
+def wanted(text: str | None, counts: dict[str, int]) -> set[str]:
+    """The units of a page, as far as its text tells them, that aren't among the entries sent to all."""
+    units: set[str] = set()
+    lines = (text or "").split("\n")
+    words = [w.group() for w in _WORD.finditer(text or "") if len(w.group()) > 1 and not w.group().isdigit()]
+    units.update(words)
+    units.update(w.lower() for w in words)
+    words = [w.group() for w in _WORD.finditer(text or "")]
+    units.update(f"{a} {b}".lower() for a, b in zip(words, words[1:]))
+    units.update(w.lower() for w in re.findall(r"[A-Za-z]+-[A-Za-z]+", text or ""))
+    for line, following in zip(lines, [*lines[1:], ""]):
+        if (line := line.rstrip()) and line[-1] in HYPHENS and (last := re.search(r"[A-Za-z]+.?$", line)):
+            stem, rest = last.group()[:-1], first_word(following)
+            units.update((f"{stem}-".lower(), f"{stem}{rest}".lower(), stem + rest, f"{stem}-{rest}".lower()))
+    for run in _HAN_RUN.findall("".join(lines)):
+        for n in (3, 2):
+            for w in {run[i : i + n] for i in range(len(run) - n + 1)}:
+                # Its other characters may have been put right before.
+                forms = {w, *map("".join, itertools.product(*({c, HAN.get(c, c)} for c in w)))}
+                units.update(forms)
+                units.update(g for f in forms for g in gaps(f))
+    return {u for u in units if u not in counts}
+
+
 def page_entries(pages: DataFrame, core: Broadcast, rest: DataFrame) -> DataFrame:
-    """``(segment_id, entries)``: what a page must know beyond the entries sent to all. For each of its
-    units that isn't among these: its count, and the entries of ``rest`` one edit from it.
+    """``(segment_id, entries)``: what a page must know beyond the entries sent to all. For each of its units
+    that isn't among these, and of those ``more`` that it missed: its count, and the entries of ``rest`` near it.
 
-    Words meet by their deletions, Chinese windows by the window with a gap, so that no group is larger
-    than the words one edit from a key, or the characters that fill a gap."""
-    def wanted(c):
+    Words meet by their skeletons with letters left out, Chinese windows by the window with a gap, so that no group
+    is larger than the words near a key, or the characters that fill a gap."""
+    def asking(c):
         out = {"segment_id": [], "unit": []}
-        for sid, t in zip(c["segment_id"], c["text"]):
-            units: set[str] = set()
-            text = "".join((t or "").split("\n"))
-            for line in (t or "").split("\n"):
-                words = [w.group() for w in _WORD.finditer(line) if w.group().isalpha() and len(w.group()) > 1]
-                units.update(words)
-                units.update(w.lower() for w in words)
-                units.update(f"{a} {b}".lower() for a, b in zip(words, words[1:]))
-                units.update(w.lower() for w in re.findall(r"[A-Za-z]+-[A-Za-z]+", line))
-            for run in _HAN_RUN.findall(text):
-                for n in (3, 2):
-                    windows = [run[i : i + n] for i in range(len(run) - n + 1)]
-                    for w in set(windows):
-                        # Its other characters may have been put right before.
-                        forms = [w, *(f for f in map("".join, itertools.product(*({c, HAN.get(c, c)} for c in w))) if f != w)]
-                        units.update(forms)
-                        units.update(g for f in forms for g in gaps(f))
-            units = {u for u in units if u not in core.value}
+        for sid, t, more in zip(c["segment_id"], c["text"], c["more"]):
+            units = wanted(t, core.value[0]) | set(more)
             out["segment_id"] += [sid] * len(units)
             out["unit"] += units
         return out
 
-    asked = written(arrow_map(pages.select("segment_id", "text"), wanted, "segment_id long, unit string"), "p1-asked")
-    word = F.col("unit").rlike("^[A-Za-z]+$")
+    asked = written(arrow_map(pages.select("segment_id", "text", "more"), asking, "segment_id long, unit string"), "p1-asked")
 
-    def keyed(c):
-        out = {"unit": [], "n": [], "key": []}
-        for u, n in zip(c["unit"], c["n"]):
-            for k in dict.fromkeys(deletions(u.lower()) if u.isascii() else gaps(u)):
-                for name, x in zip(out, (u, n, k)):
-                    out[name].append(x)
-        return out
+    def keyed(least):
+        def keys(c):
+            out = {"unit": [], "n": [], "key": []}
+            for u, n in zip(c["unit"], c["n"]):
+                for k in deletions(u.lower(), len(u) >= least) if u.isascii() else gaps(u):
+                    for name, x in zip(out, (u, n, k)):
+                        out[name].append(x)
+            return out
+
+        return keys
 
     form = "unit string, n long, key string"
-    held = arrow_map(rest.filter(word | F.col("unit").rlike("^[㐀-鿿エ]{2,3}$")), keyed, form)
+    held = arrow_map(rest.filter(F.col("unit").rlike("^[A-Za-z]+$|^[㐀-鿿エ]{2,3}$")), keyed(LONG_WORD - 2), form).distinct()
     distinct = asked.select("unit").distinct()
-    by_word = arrow_map(distinct.filter(word).withColumn("n", F.lit(0).cast("long")), keyed, form).select(F.col("unit").alias("asked"), "key")
+    by_word = arrow_map(distinct.filter(F.col("unit").rlike("^[A-Za-z0-9]+$")).withColumn("n", F.lit(0).cast("long")), keyed(LONG_WORD), form).select(F.col("unit").alias("asked"), "key")
     by_gap = distinct.filter(F.contains("unit", F.lit("?"))).select(F.col("unit").alias("asked"), F.col("unit").alias("key"))
     near = by_word.unionByName(by_gap).join(held, "key").filter("asked != unit").select("asked", "unit", "n").distinct()
     near = near.groupBy("asked").agg(F.collect_list(F.struct("unit", "n")).alias("near"))
@@ -785,19 +837,33 @@ def page_damage(segments: DataFrame, most: int = MAX_SENT) -> DataFrame:
     more = rest is not None
 
     def mend(c):
-        vocab = built(sent, lambda v: Vocabulary(*v))
-        out = {"segment_id": c["segment_id"], "damage": [], "body": []}
+        vocab = built(sent, lambda v: (PagedVocabulary if more else Vocabulary)(*v))
+        out = {"segment_id": c["segment_id"], "damage": [], "body": []} | ({"missing": []} if more else {})
         for i, t in enumerate(c["text"]):
-            vocab.learn(c["entries"][i] if more else None)
+            if more:
+                vocab.learn(c["entries"][i], wanted(t, vocab.counts) | set(c["more"][i]))
             damage, body = repair(t, c["is_top"][i], c["is_bottom"][i], c["next_head"][i], c["prev_tail"][i], vocab)
             out["damage"].append(damage)
             out["body"].append(body)
+            if more:
+                out["missing"].append(sorted(vocab.missing))
         return out
 
+    form = "segment_id long, damage array<string>, body string"
     joined = pages.select("segment_id", "text").join(around, "segment_id")
-    if more:
-        joined = joined.join(page_entries(pages, pages.sparkSession.sparkContext.broadcast(set(counts)), rest), "segment_id", "left")
-    return arrow_map(joined, mend, "segment_id long, damage array<string>, body string")
+    if not more:
+        return arrow_map(joined, mend, form)
+    # What a page looks up follows from what it found before (the neighbours of a candidate, the characters around one that
+    # was put right), so pages are done anew with what they missed, until none misses anything.
+    joined, results = joined.withColumn("more", F.array().cast("array<string>")), []
+    while True:
+        rows = joined.join(page_entries(joined, sent, rest), "segment_id", "left")
+        done = written(arrow_map(rows, mend, f"{form}, missing array<string>"), "p1-mended")
+        results.append(done.filter(F.size("missing") == 0).drop("missing"))
+        left = done.filter(F.size("missing") > 0).select("segment_id", "missing")
+        if left.isEmpty():
+            return functools.reduce(DataFrame.unionByName, results)
+        joined = written(joined.join(left, "segment_id").withColumn("more", F.array_union("more", "missing")).drop("missing"), "p1-left")
 
 
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

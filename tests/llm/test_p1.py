@@ -89,6 +89,48 @@ def test_entries_that_come_with_the_pages(spark):
     assert rows(10**9) == rows(300)
 
 
+def test_all_entries_come_with_damaged_pages(spark):
+    """With two free edits in long words, misreadings and digits in others, and any characters in Chinese, too."""
+    r = random.Random(5)
+
+    def damaged(t):
+        def word(m):
+            w = m.group()
+            if r.random() < 0.7:
+                return w
+            if len(w) >= 8:
+                for _ in range(2):
+                    i = r.randrange(len(w) - 1)
+                    w = r.choice([w[:i] + r.choice("abdghkpstx") + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+                return w
+            return w.replace("e", "c").replace("l", "1").replace("o", "0").replace("m", "rn")
+
+        t = re.sub("[a-z]{4,}", word, t)
+        return re.sub("[一-鿿]", lambda m: r.choice("的报销冋淸宙夭甴囗") if r.random() < 0.03 else m.group(), t)
+
+    rows = spark.read.parquet(f"{SMALL}/parsed_segments.parquet").filter("content_type = 'page'").select("segment_id", "document_id", "seq", "text", "content_type").collect()
+    rows = [(x.segment_id, x.document_id, x.seq, damaged(x.text) if x.text and k % 2 else x.text, x.content_type) for k, x in enumerate(rows)]
+    segments = spark.createDataFrame(rows, "segment_id long, document_id string, seq int, text string, content_type string")
+    got = lambda most: {x.segment_id: (sorted(x.damage), x.body) for x in p1.page_damage(segments, most).collect()}
+    assert got(10**9) == got(100)
+
+
+def test_keys_meet():
+    """Whatever the automaton may find has a key in common with what was read."""
+    r = random.Random(6)
+    say = lambda n: "".join(r.choice("abcdelmnoruvwi") for _ in range(n))
+    swaps = [(m, read) for read, ms in p1.LATIN.items() for m in ms]
+    for _ in range(4000):
+        word = read = say(r.randint(3, 12))
+        for _ in range(r.randint(1, 4)):
+            i = r.randrange(len(read) + 1)
+            m, x = r.choice(swaps)
+            read = r.choice([read.replace(m, x, 1), read[:i] + say(1) + read[i + 1 :], read[:i] + read[i + 1 :], read[:i] + say(1) + read[i:], read[:i] + read[i : i + 2][::-1] + read[i + 2 :]])
+        budget = 4 if len(read) >= p1.LONG_WORD else 2
+        if read and p1.edit_cost(word, read) <= budget:
+            assert p1.deletions(word.lower(), len(word) >= p1.LONG_WORD - 2) & p1.deletions(read.lower(), len(read) >= p1.LONG_WORD)
+
+
 def test_long_titles_and_marked_numbers():
     assert p1.may_be_title("A very long running title of a manual that nobody would ever print " * 2)
     assert p1.page_numbers(["a", "b", "- 12 -", "c", "d", "12", "e", "f"]) == {2}
